@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_planes, warc, winnow
+from . import byte_cnn, debruijn, mcd_quality, mixing, parity_join, pii_crf, token_planes, trigram_secrets, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +22,49 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_shards(token_planes.write_shards(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(_table(spark, sf_dir, "documents"))
+
+
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.self_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trigram_secrets.report(trigram_secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").alias("row"), F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"))
     return mixing.draw(rows, F.col("row")).select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(winnow.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op9_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = mcd_quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op1_bit_planes": op1_bit_planes, "op6_systematic_mix": op6_systematic_mix, "op8_winnowing": op8_winnowing, "op10_warc": op10_warc}
+QUERIES = {
+    q.__name__: q
+    for q in (op1_bit_planes, op2_skip_chain_crf, op3_parity_join, op4_trigram_index, op5_debruijn, op6_systematic_mix, op7_byte_cnn, op8_winnowing, op9_mcd, op10_warc)
+}
 
 SQL: dict[str, str] = {}
 
@@ -89,3 +117,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+SQL["op3_parity_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM g GROUP BY doc_id
+), e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+), r AS (
+  SELECT doc_id, doc_id AS top FROM n UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.doc_id
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.top, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(top) AS top FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+SQL["op5_debruijn"] = """
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM w)
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -47,11 +48,29 @@ def _clear() -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to shared storage and read it back: cuts lineage, survives lost executors.
+
+    The shuffles that made it are of no further use once it is written and are
+    let go with the write.
+    """
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    if was is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is not None:
+            spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    delete(df.sparkSession, df._kinfold_path)
 
 
 def partitions(spark: SparkSession) -> int:
