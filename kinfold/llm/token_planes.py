@@ -11,8 +11,9 @@ document), so that one document can be read without the others.
     magic | planes of block 0 | planes of block 1 | ... | footer | footer size, 8 bytes | magic
 
 Only sums of whole shards are needed to number ids across shards: one row per
-shard.  Texts are cut at ASCII white space, at which the tokenizer's rules cut
-anyway, and each distinct piece of a batch is encoded once.
+shard.  Texts are cut at ASCII white space and between letters and the points after
+them, where the tokenizer's rules cut anyway, and each distinct piece of a
+batch is encoded once.
 
 Cases: a null text is empty; an empty text has the end id alone; rows that
 share a doc_id are ordered by text, all of them written; null ids come first
@@ -43,7 +44,11 @@ BLOCK_IDS = 1 << 16
 PLANES = ("byte", "bit")
 END_ID = 2
 #: Pieces whose ids a worker remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+#: Documents encoded at a time.
+AT_ONCE = 5000
+#: Latin letters, then points: between the two every letter-run pre-tokenizer cuts.
+_CUT = r"^(?P<stem>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<tail>[.,;:!?]*)$"
 
 _MANIFEST = "path string, shard int, n_ids bigint, n_docs bigint, bytes bigint"
 _DOCS = "shard int, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint"
@@ -160,44 +165,77 @@ class ShardReader:
 
 
 class PieceEncoder:
-    """Ids of texts by way of their pieces between ASCII white space."""
+    """Ids of texts by way of their pieces between ASCII white space.
+
+    A piece of Latin letters with points after it is cut once more, before the
+    points, where the tokenizer cuts too.  Pieces keep their ids in one flat
+    array; a worker remembers those it met first, which are the frequent ones.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.remembered = Tokenizer.from_str(tokenizer_json), end_id, remembered
-        self.known: dict[str, np.ndarray] = {}
-
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        new = [p for p in pieces if p not in self.known]
-        own = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                own[p] = np.array(e.ids, "<u4")
-        out = [own[p] if p in own else self.known[p] for p in pieces]
-        if len(self.known) + len(own) > self.remembered:
-            self.known = {}
-        if len(own) <= self.remembered:
-            self.known |= own
-        return out
+        # Only a tokenizer that lowers letters may be given them lowered.
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Q") == "q"
+        self.place: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of new pieces."""
+        ids, sizes = [], []
+        for i in range(0, len(pieces), 20_000):
+            for e in self.tokenizer.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False):
+                x = e.ids
+                ids += x
+                sizes.append(len(x))
+        return np.array(ids, "<u4"), np.array(sizes, np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, begin, size) of the pieces."""
+        at = np.array([self.place.get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(at < 0)
+        names = [pieces[i] for i in new]
+        flat, size = self._encoded(names)
+        begin = len(self.flat) + np.cumsum(size) - size
+        own_begin, own_size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        old = at >= 0
+        own_begin[old], own_size[old] = self.begin[at[old]], self.size[at[old]]
+        own_begin[new], own_size[new] = begin, size
+        every = np.concatenate([self.flat, flat])
+        room = self.remembered - len(self.place)
+        if room > 0 and len(names):
+            n = len(self.place)
+            self.place.update(zip(names[:room], range(n, n + room), strict=False))
+            kept = size[:room]
+            self.flat = np.concatenate([self.flat, flat[: kept.sum()]])
+            self.begin, self.size = np.concatenate([self.begin, begin[:room]]), np.concatenate([self.size, kept])
+        return every, own_begin, own_size
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
         pieces = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = pc.list_flatten(pieces).dictionary_encode()
-        ids = self._pieces(words.dictionary.to_pylist())
-        code = np.asarray(words.indices).astype(np.int64)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        begin = np.cumsum(sizes) - sizes
+        cut = pc.extract_regex(words.dictionary, pattern=_CUT)
+        plain = cut.is_valid()
+        stem, tail = pc.if_else(plain, pc.struct_field(cut, 0), words.dictionary), pc.if_else(plain, pc.struct_field(cut, 1), "")
+        if self.lowers:
+            stem = pc.if_else(plain, pc.ascii_lower(stem), stem)
+        stem, tail = stem.dictionary_encode(), tail.dictionary_encode()
+        names = stem.dictionary.to_pylist() + tail.dictionary.to_pylist()
+        flat, begin, size = self._pieces(names)
+        parts = np.stack([np.asarray(stem.indices), np.asarray(tail.indices) + len(stem.dictionary)], 1).astype(np.int64)
+        code = np.asarray(words.indices)
         ends = np.cumsum(np.asarray(pc.list_value_length(pieces)).astype(np.int64))
+        end = np.array([self.end_id], "<u4")
         for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
-            n = sizes[code[lo:hi]]
-            first = np.cumsum(n) - n
-            at = np.repeat(begin[code[lo:hi]] - first, n) + np.arange(n.sum())
-            yield np.append(flat[at], np.array([self.end_id], "<u4"))
+            part = parts[code[lo:hi]].reshape(-1)
+            n = size[part]
+            stop = np.cumsum(n)
+            at = np.repeat(begin[part] - stop + n, n)
+            at += np.arange(len(at))
+            yield np.append(flat[at], end)
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -207,8 +245,8 @@ def _write(batches, folder, tokenizer, end_id, block_ids, kind, level):
     encoder = _encoders.get(tokenizer.id) or _encoders.setdefault(tokenizer.id, PieceEncoder(tokenizer.value, end_id))
     partition, writer, uri = TaskContext.get().partitionId(), None, None
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
+        for lo in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(lo, AT_ONCE)
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                 if writer is None:
                     uri, out = files.create(folder, partition, 0, ".ids")
