@@ -12,14 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_planes.read_shards(token_planes.write_shards(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return token_planes.read_shards(token_planes.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

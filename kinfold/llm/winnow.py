@@ -100,6 +100,18 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def _clean(batches, index):
+    """The rows without a hit, all their columns."""
+    index = index.value
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for lo, _, at, data in W.blocks(batch.column("text")):
+            words = W.split(at, data, W.ALNUM, lower=True)
+            starts = index.hits(words.hash, words.first)[0]
+            keep[lo + np.searchsorted(words.first, starts, "right") - 1] = False
+        yield batch.filter(pa.array(keep))
+
+
 def _scan(batches, index):
     index = index.value
     for batch in batches:
@@ -129,18 +141,30 @@ def _scan(batches, index):
         )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: its words, the word spans that occur in items (hit_starts, hit_ends) and those items."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+def _indexes(benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> list:
+    """Broadcast indexes of the items, one for each block of about ``block_bytes``."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    parts = []
+    out = []
     for block in range(n):
         own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], window, gram))
-        parts.append(rows.mapInArrow(lambda batches, index=index: _scan(batches, index), SCHEMA))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], window, gram)))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that any item occurs in; a pass for each block of items, nothing is shuffled."""
+    for index in _indexes(benchmark, window, gram, block_bytes):
+        docs = docs.mapInArrow(lambda batches, index=index: _clean(batches, index), docs.schema)
+    return docs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document row: its words, the word spans that occur in items (hit_starts, hit_ends) and those items."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    parts = [rows.mapInArrow(lambda batches, index=index: _scan(batches, index), SCHEMA) for index in _indexes(benchmark, window, gram, block_bytes)]
+    n = len(parts)
     if n == 1:
         return parts[0]
     every = parts[0]
