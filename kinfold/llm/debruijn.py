@@ -180,26 +180,29 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, kmer: int = KMER) -> DataF
     long_ones = graph.filter(F.col("n_words") >= span)
     firsts = long_ones.groupBy("sequence", "n_words").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     firsts = materialize(firsts.select("sequence", "n_words", "first"), "repeat-firsts")
-    copies = graph.select("id", "row_key", "sequence", "n_words").join(firsts, ["sequence", "n_words"]).filter("id > first")
-    copies = materialize(copies.select("id", "row_key").distinct(), "repeat-copies")
-    own = materialize(graph.join(copies, ["id", "row_key"], "left_anti"), "repeat-own")
-    whole = graph.join(copies, ["id", "row_key"], "left_semi").select("id", "row_key", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    marked = graph.join(firsts, ["sequence", "n_words"], "left")
+    own = materialize(marked.filter("first is null or id <= first").drop("sequence", "first"), "repeat-own")
+    whole = marked.filter("id > first").select("id", "row_key", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     whole = materialize(whole, "repeat-whole")
     drop(graph)
 
-    # Edges that occur more than once, and whether the path through them branches.
-    shown = own.select("id", "row_key", F.inline("edges"))
-    nodes = shown.groupBy("edge").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("around").alias("lo"), F.max("around").alias("hi"))
-    nodes = materialize(nodes.filter("first < last").select("edge", "first", (F.col("lo") < F.col("hi")).alias("branches")), "repeat-nodes")
-    met = shown.select("id", "row_key", "edge").join(nodes, "edge").filter("branches or id > first")
-    paths = met.groupBy("id", "row_key").agg(
+    # Edges of several documents, then whether the path through each branches.
+    shown = own.select("id", F.inline("edges"))
+    nodes = shown.groupBy("edge").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    nodes = materialize(nodes.select("edge", "first"), "repeat-nodes")
+    met = materialize(shown.join(nodes, "edge"), "repeat-met")
+    ways = met.groupBy("edge").agg((F.min("around") < F.max("around")).alias("branches"))
+    ways = materialize(ways, "repeat-ways")
+    met = met.select("edge", "id", "first").join(ways, "edge").filter("branches or id > first")
+    paths = met.groupBy("id").agg(
         F.collect_set(F.when(~F.col("branches"), F.col("edge"))).alias("sure"), F.collect_set(F.when(F.col("branches"), F.col("edge"))).alias("unsure")
     )
-    alone = own.filter("own").select("id", "row_key")
-    paths = paths.join(alone.distinct().withColumn("own", F.lit(True)), ["id", "row_key"], "full").select("id", "row_key", "sure", "unsure")
     paths = materialize(paths, "repeat-paths")
+    # Edges tell rows of one id apart no further; rows with repeats of their own are followed as well.
+    paths = own.select("id", "row_key", "own").distinct().join(paths, "id", "left").filter("own or sure is not null").drop("own")
+    paths = materialize(paths, "repeat-followed")
     followed = rows.join(paths, ["id", "row_key"]).mapInArrow(lambda batches: _follow(batches, span, kmer), _PATHS)
-    followed = materialize(followed, "repeat-followed")
+    followed = materialize(followed, "repeat-done")
 
     # Windows at branches, by their own first document.
     asked = followed.select("id", "row_key", F.explode("unsure").alias("window"))

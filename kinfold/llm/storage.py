@@ -15,15 +15,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of sessions without the setting, by application.
+_own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get(_SETTING, None)
+    root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="kinfold-shared-")
-        spark.conf.set(_SETTING, root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="kinfold-shared-")
+        root = _own[app]
     return root.rstrip("/")
 
 
@@ -47,22 +50,24 @@ def _clear() -> None:
             delete(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows for which a table of known size gets a file.
+ROWS_PER_FILE = 50_000
+
+
+def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts lineage, survives lost executors.
 
-    The shuffles that made it are of no further use once it is written and are
-    let go with the write.
+    Where ``most_rows`` bounds the rows, small tables get few files instead of
+    one for each shuffle partition.
+
+    Shuffle files go when the driver finds their plans to be garbage; once the
+    table is written they are of no use, so the driver is told to look at once.
     """
     spark = df.sparkSession
     path = new_dir(spark, label)
-    was = spark.conf.get(_CLEANUP, None)
-    if was is not None:
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if was is not None:
-            spark.conf.set(_CLEANUP, was)
+    out = df if most_rows is None else df.coalesce(max(1, -(-most_rows // ROWS_PER_FILE)))
+    out.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
     return out
