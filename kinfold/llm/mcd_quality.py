@@ -56,6 +56,8 @@ P = len(_X)
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _LEVEL = 64
+#: Groups up to which their parameters are broadcast; beyond, they are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -117,21 +119,23 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({k: F.round(v * UNIT).cast("long") for k, v in x.items()})
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``key``, the group a row is estimated with; null where even all the rest is too few."""
+def _grouped(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Adds ``key``, the group a row is estimated with; null where even all the rest is too few. And the number of groups."""
     lang, source = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
     own, by_lang = F.to_json(F.array(lang, source)), F.to_json(F.array(lang))
     rows = rows.withColumns({"own": own, "by_lang": by_lang})
     counts = rows.filter(~F.col("base_failed")).groupBy("own", "by_lang").agg(F.count("*").alias("n"))
     counts = materialize(counts, "mcd-counts")
+    groups = counts.count()
     small = counts.filter(F.col("n") < MIN_GROUP).groupBy("by_lang").agg(F.sum("n").alias("rest"))
     keys = counts.join(small, "by_lang", "left")
     keys = keys.withColumn("key", F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("rest") >= MIN_GROUP, F.col("by_lang")).otherwise(F.lit("[]")))
-    keys = materialize(keys.select("own", "key", "n"), "mcd-keys")
+    keys = materialize(keys.select("own", "key", "n"), "mcd-keys", groups)
     pool = keys.filter("key = '[]'").agg(F.sum("n")).first()[0] or 0
     if pool < MIN_GROUP:
         keys = keys.withColumn("key", F.when(F.col("key") != "[]", F.col("key")))
-    return rows.join(keys.select("own", "key"), "own", "left").drop("own", "by_lang")
+    keys = keys.select("own", "key")
+    return rows.join(F.broadcast(keys) if groups <= BROADCAST_GROUPS else keys, "own", "left").drop("own", "by_lang"), groups
 
 
 def _floor(i: int) -> float:
@@ -170,6 +174,11 @@ def _factor(sums: DataFrame, scale: float) -> DataFrame:
     return out.drop(*[f"q{i}{j}" for i in range(P) for j in range(i + 1)])
 
 
+def _with(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins a written table of one row a group by its key."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table, "key", how)
+
+
 def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(
         F.count("*").alias("n"), *[F.sum(_X[i]).alias(f"s{i}") for i in range(P)],
@@ -177,32 +186,34 @@ def _sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def estimate(rows: DataFrame) -> DataFrame:
+def estimate(rows: DataFrame, groups: int) -> DataFrame:
     """key -> location m* and scatter factor c*, by MCD over the rows with a key."""
     level = F.round(F.log2(1 + _distance()) * _LEVEL).cast("int")
     medians = rows.groupBy("key").agg(*[F.expr(f"percentile({x}, 0.5)").alias(f"m{i}") for i, x in enumerate(_X)])
-    medians = materialize(medians, "mcd-medians")
-    away = rows.join(medians, "key").groupBy("key").agg(*[F.expr(f"percentile(abs({x} - m{i}), 0.5)").alias(f"d{i}") for i, x in enumerate(_X)])
-    start = medians.join(away, "key").select("key", *[f"m{i}" for i in range(P)], *[(F.lit(0.0) if i != j else F.col(f"d{i}") * 1.4826 + F.lit(_floor(i))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
-    now = materialize(start, "mcd-start")
+    medians = materialize(medians, "mcd-medians", groups)
+    away = _with(rows, medians).groupBy("key").agg(*[F.expr(f"percentile(abs({x} - m{i}), 0.5)").alias(f"d{i}") for i, x in enumerate(_X)])
+    away = materialize(away, "mcd-away", groups)
+    start = _with(medians, away).select("key", *[f"m{i}" for i in range(P)], *[(F.lit(0.0) if i != j else F.col(f"d{i}") * 1.4826 + F.lit(_floor(i))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+    now = materialize(start, "mcd-start", groups)
     half = chi2_quantile(COVERAGE, P)
     scale = COVERAGE / chi2_cdf(half, P + 2)
     for _ in range(STEPS):
-        near = rows.join(now, "key").select("key", *_X, level.alias("level"))
-        cut = materialize(near.groupBy("key").agg(F.expr(f"percentile(level, {COVERAGE})").alias("cut")), "mcd-cut")
-        now = materialize(_factor(_sums(near.join(cut, "key").filter("level <= cut")), scale), "mcd-step")
+        near = _with(rows, now).select("key", *_X, level.alias("level"))
+        cut = materialize(near.groupBy("key").agg(F.expr(f"percentile(level, {COVERAGE})").alias("cut")), "mcd-cut", groups)
+        now = materialize(_factor(_sums(_with(near, cut).filter("level <= cut")), scale), "mcd-step", groups)
     inner = chi2_quantile(0.975, P)
-    reweighted = _sums(rows.join(now, "key").filter(_distance() <= inner))
-    return materialize(_factor(reweighted, 0.975 / chi2_cdf(inner, P + 2)), "mcd-final")
+    reweighted = _sums(_with(rows, now).filter(_distance() <= inner))
+    return materialize(_factor(reweighted, 0.975 / chi2_cdf(inner, P + 2)), "mcd-final", groups)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The statistics of every row with base_failed, distance2 and kept."""
     stats = materialize(vectors(statistics(docs)), "mcd-stats")
-    rows = materialize(_grouped(stats), "mcd-rows")
+    rows, groups = _grouped(stats)
+    rows = materialize(rows, "mcd-rows")
     fit = rows.filter(~F.col("base_failed") & F.col("key").isNotNull()).select("key", *_X)
-    params = estimate(fit)
-    scored = rows.join(params, "key", "left").withColumn("distance2", _distance())
+    params = estimate(fit, groups)
+    scored = _with(rows, params, "left").withColumn("distance2", _distance())
     inside = F.coalesce(F.col("distance2") <= chi2_quantile(1 - ALPHA, P), F.lit(True))
     return scored.withColumn("kept", ~F.col("base_failed") & inside).drop(*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)], "key")
 
