@@ -11,7 +11,8 @@ groups and tokens with an at sign, written in any way.  Its factors are
 
 Loopy sum-product message passing gives marginals; tokens that base spans of the
 kind cover are observed.  Where another token's most probable label is a kind of
-personal data with at least ``CERTAIN``, its span is added.  So a number that is
+personal data with at least ``CERTAIN``, and a skip edge joins it to a token of
+that label, its span is added.  So a number that is
 written once with its country code and again without it is found both times.
 
 Skip edges go from each token to the one before of the same key, so a token that
@@ -282,8 +283,9 @@ def added_spans(weights: Weights, text: str, base: list[tuple[int, int, int]], c
     seen = observed(tokens, base)
     if all(seen):
         return []
-    p = marginals(weights, tokens, seen)
-    return [(t.start, int(p[i].argmax()) - 1, t.end) for i, t in enumerate(tokens) if not seen[i] and p[i].argmax() and p[i].max() >= certain]
+    best = (p := marginals(weights, tokens, seen)).argmax(1)
+    like = {i for a, b in skip_edges(tokens) if best[a] == best[b] for i in (a, b)}
+    return [(t.start, int(best[i]) - 1, t.end) for i, t in enumerate(tokens) if not seen[i] and best[i] and i in like and p[i].max() >= certain]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -306,9 +308,13 @@ def _find(batches, weights):
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, most_chars: int = TRAIN_CHARS) -> Weights:
-    """Weights from the bounded sample."""
+    """Weights from the bounded sample: hashes are ranked first, so that only the texts taken travel."""
     text = F.col("text").cast("string")
-    sample = docs.filter(text.rlike(r"[0-9@]") & (F.length(text) <= most_chars)).select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(rows)
+    usable = docs.filter(text.rlike(r"[0-9@]") & (F.length(text) <= most_chars)).select(text.alias("text"), F.xxhash64(text).alias("h"))
+    last = usable.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return NEUTRAL
+    sample = usable.filter(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").limit(rows)
     return fit([r["text"] for r in sample.collect()])  # at most `rows` texts of at most `most_chars` code points
 
 
