@@ -204,3 +204,30 @@ def class_report(df: DataFrame, truth: str, pred: str, classes: list[str]) -> Da
     out = rows.groupBy("class").agg(F.count_if((F.col("t") == c) & (F.col("p") == c)).alias("tp"), F.count_if(F.col("p") == c).alias("n_pred"), F.count_if(F.col("t") == c).alias("support"))
     precision, recall = F.col("tp") / F.greatest("n_pred", F.lit(1)), F.col("tp") / F.greatest("support", F.lit(1))
     return out.select("class", precision.alias("precision"), recall.alias("recall"), F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0)).alias("f1"), "support")
+
+
+def head_to_head(df: DataFrame, truth: str, predictions: list[str], by: str = "type") -> DataFrame:
+    """Accuracy, and precision and recall of same and related, of several predictors on the same rows."""
+    def share(num: Column, den: Column) -> Column:
+        return F.count_if(num & den) / F.greatest(F.count_if(den), F.lit(1))
+
+    out = []
+    for p in predictions:
+        out.append(F.avg((F.col(p) == F.col(truth)).cast("double")).alias(f"{p}_accuracy"))
+        for c in ("same", "related"):
+            out.append(share(F.col(truth) == c, F.col(p) == c).alias(f"{p}_{c}_precision"))
+            out.append(share(F.col(p) == c, F.col(truth) == c).alias(f"{p}_{c}_recall"))
+    return df.groupBy(by).agg(F.count("*").alias("n"), *out)
+
+
+def audit(df: DataFrame, truth: str, predictions: list[str], category: str = "category", kind: str = "type") -> DataFrame:
+    """Per category the accuracy on decided rows and the undecided share; but for tracks, same against not."""
+    def coarse(c: str) -> Column:
+        return F.when(F.col(kind) == "track", F.col(c)).when(F.col(c).isin("same", "defer", "unsure"), F.col(c)).otherwise(F.lit("not_same"))
+
+    out = []
+    for p in predictions:
+        decided = ~F.col(p).isin("defer", "unsure")
+        out.append((F.count_if(decided & (coarse(p) == coarse(truth))) / F.nullif(F.count_if(decided), F.lit(0))).alias(f"{p}_accuracy"))
+        out.append((F.count_if(~decided) / F.count("*")).alias(f"{p}_undecided"))
+    return df.groupBy(category).agg(F.count("*").alias("n"), *out)

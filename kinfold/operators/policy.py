@@ -90,3 +90,8 @@ def refined(rows: DataFrame, answers: DataFrame, derived_from: DataFrame | None
         fresh = veto_siblings(out.filter("was = 'DEFER'"), derived_from)
         out = out.filter("was <> 'DEFER'").unionByName(fresh)
     return out.drop("was")
+
+
+def without_matcher(pairs: DataFrame) -> DataFrame:
+    """No model at hand: every pair is DISTINCT."""
+    return pairs.withColumn("verdict", F.lit("DISTINCT"))

@@ -140,3 +140,19 @@ def view_key(pairs: Column | str) -> Column:
     """A view's canonical key: its sorted distinct pairs, joined by separators that no identifier holds."""
     pairs = F.col(pairs) if isinstance(pairs, str) else pairs
     return F.array_join(F.transform(F.array_sort(F.array_distinct(pairs)), lambda p: F.concat(p["source"], F.lit("\x1f"), p["identifier"])), "\x1e")
+
+
+def entry_texts(entries: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(entry_id, text): an entry's title, conditioned for tracks on an artist.
+
+    The artist is that of the first pair that carries the title, else that of
+    the first pair that has one.  ``entries`` has entry_id, entry_type and title.
+    """
+    source = tables["entry_source"].select(*PAIR, "entry_id")
+    best = best_names(tables["entry_source"], tables["entry_alias"])
+    artist = primary_artists(tables["contribution"]).join(best.select(F.struct(*PAIR).alias("artist"), F.col("best_name").alias("artist_name")), "artist", "left")
+    carries = tables["entry_alias"].select(*PAIR, F.col("name").alias("title")).distinct().withColumn("carries", F.lit(True))
+    rows = entries.join(source, "entry_id").join(artist.select(*PAIR, "artist_name"), PAIR, "left").join(carries, [*PAIR, "title"], "left")
+    place = F.when(F.col("artist_name").isNotNull(), F.struct(F.coalesce(~F.col("carries"), F.lit(True)), *PAIR))
+    rows = rows.groupBy("entry_id", "entry_type", "title").agg(F.min_by("artist_name", place).alias("artist_name"))
+    return rows.select("entry_id", T.encoder_text(F.col("title"), F.when(F.col("entry_type") == "track", F.col("artist_name"))).alias("text"))

@@ -174,3 +174,39 @@ def test_files_round_trip(spark, tmp_path):
     assert readers.read_vectors(spark, str(tmp_path / "v")).first().vector == [0.5, -1.0]
     cache = spark.createDataFrame([("k", "r", "old", 1)], schema.CACHE)
     assert readers.cache_put(cache, spark.createDataFrame([("k", "r", "new", 2)], schema.CACHE)).first().response == "new"
+
+
+def test_bundles(tmp_path):
+    from kinfold.operators import bundle
+
+    main = TREES.replace("num_class=2", "num_class=4").replace("num_class:2", "num_class:4")
+    bundle.write(str(tmp_path / "b"), {"main": main, "kind": TREES}, ["live", "other"], {"track": 0.9}, "v1", about="test")
+    got = bundle.read(str(tmp_path / "b"), ["p_size", "p_retailprice", "p_gap"])
+    assert got.thresholds == {"track": 0.9} and got.outputs()[-1] == "p_kind_other" and got.heads["main"].classes == 4
+    with pytest.raises(models.UnsupportedModel, match="unknown"):
+        bundle.read(str(tmp_path / "b"), ["p_size"])
+    with pytest.raises(models.UnsupportedModel, match="outputs"):
+        bundle.write(str(tmp_path / "c"), {"main": TREES}, [], {}, "v1")
+
+
+def test_audits(spark):
+    rows = [("c1", "track", "same", "same", "defer"), ("c1", "track", "related", "sibling", "related"), ("c2", "artist", "unrelated", "related", "same")]
+    df = spark.createDataFrame(rows, "category string, type string, truth string, a string, b string")
+    got = {r.category: r for r in evaluate.audit(df, "truth", ["a", "b"]).collect()}
+    assert (got["c1"].a_accuracy, got["c1"].b_accuracy, got["c1"].b_undecided) == (0.5, 1.0, 0.5) and (got["c2"].a_accuracy, got["c2"].b_accuracy) == (1.0, 0.0)
+    both = {r.type: r for r in evaluate.head_to_head(df, "truth", ["a"]).collect()}
+    assert both["track"].a_accuracy == 0.5 and both["track"].a_same_precision == 1.0 and both["track"].a_related_recall == 0.0
+
+
+def test_entry_texts(spark):
+    from kinfold.operators import views
+
+    t = {
+        "entry_source": spark.createDataFrame([("s", "1", 1), ("s", "2", 1), ("a", "x", 9), ("a", "y", 8)], "source string, identifier string, entry_id long"),
+        "entry_alias": spark.createDataFrame([(1, "s", "1", "T", True), (2, "s", "2", "U", True), (3, "a", "x", "X", True), (4, "a", "y", "Y", True)], "id long, source string, identifier string, name string, primary boolean"),
+        "contribution": spark.createDataFrame([(1, "s", "1", "a", "x", "uploader", False), (2, "s", "2", "a", "y", "listed_artist", True)], "id long, source string, identifier string, artist_source string, artist_identifier string, role string, main_artist boolean"),
+    }
+    e = spark.createDataFrame([(1, "track", "U"), (9, "artist", "X")], "entry_id long, entry_type string, title string")
+    assert {r.entry_id: r.text for r in views.entry_texts(e, t).collect()} == {1: "U [A] Y", 9: "X"}
+    e = spark.createDataFrame([(1, "track", "none")], "entry_id long, entry_type string, title string")
+    assert views.entry_texts(e, t).first().text == "none [A] X"
