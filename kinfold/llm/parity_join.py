@@ -4,22 +4,32 @@ A document's set holds its distinct 5-word shingles.  Sets of sizes a and b with
 Jaccard similarity t or more differ in at most D = (1 - t) / (1 + t) * (a + b)
 shingles.
 
-Sketches.  In a size band (sizes from h/2 to h) every shingle falls in one of m
+Sketches.  In a size band (sizes from h/4 to h) every shingle falls in one of m
 parts and is XOR-ed into that part's word.  A shingle changes one word only, so
 the number of words in which two sketches differ is a lower bound of the
 symmetric difference.
 
 Pigeonhole.  With at most D words unlike, two similar sets have all but D of
-their nonempty words in common.  Words are put in one global order (that of
-their hash), and a document shows the first D + 1 of its nonempty words; the
-first word that two similar sets share is among those of either.  Joining on
-shown words therefore loses no pair.  Parts hold about two shingles, so a word
-only matches where the whole part does and a passage that many documents share
-seldom makes candidates.  Sets of up to 64 shingles have one shingle to a part.
-A set also shows words at the next band up, if a partner may lie there.
-
-Verification.  Candidates are compared by size, then by the Hamming distance of
-1024-bit parity sketches (again a lower bound), then by intersection.
+their nonempty words in common.  Words are put in one global order, and a
+document shows the first D + 1 of its nonempty words; the first word that two
+similar sets share is among those of either.  Joining on shown words therefore
+loses no pair, whatever the order.  It is chosen so that few pairs come up: words
+made of common shingles alone, as counted in a bounded sample of the documents,
+come last; the others stand by their hash.  Parts hold about two shingles, so a
+word only matches where the whole part does.  In bands of up to 256 shingles each
+shingle has a part of its own.  A set also shows words at the next band up, if a partner may
+lie there.
+
+Position.  Under the first word that two sets share, all words before it are
+unlike; as each pair also meets there, it may be dropped under any word where
+the words before it are more than D: together where parts hold one shingle, on
+either side where they hold more.
+
+Verification.  Candidates are compared by size and by the Hamming distance of
+2048-bit parity sketches (again a lower bound) before whole sets are joined to
+them, then by intersection.  The same sketches, folded by XOR to 1024 bits, stand
+in the rows themselves from the second round on, where words are left that many
+unlike sets share.
 
 Groups.  Equal sets are one class from the start.  Among the classes under one
 word only a few pivots are compared with the rest, components are formed, and
@@ -43,19 +53,29 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import connected_components
-from .storage import materialize
+from .storage import drop, materialize
 
 SHINGLE = 5
 #: Similarity as a ratio of integers: at least 75 / 100.
 NUMERATOR, DENOMINATOR = 75, 100
-SINGLE_UP_TO = 64
+SINGLE_UP_TO = 256
 SHINGLES_PER_PART = 2.2
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
+#: Documents in the sample that tells common shingles, and in how many of them one must be.
+SAMPLE_ROWS, COMMON_IN = 16_000, 2
+#: Most common shingles that are told apart; it bounds the broadcast and changes the order only.
+MOST_COMMON = 1 << 20
+#: Longs of the folded sketch that decides between rows of one word, from the second round on.
+FOLDED = 16
 #: Classes that a worker remembers to have shown already.
 REMEMBERED = 200_000
 
-_SETS = "doc_id bigint, n_shingles bigint, class bigint, words array<bigint>"
-_MEMBERS = "class bigint, n int, sketch binary, hashes binary"
+_SETS = "doc_id bigint, n_shingles bigint, class bigint, words array<bigint>, own int, single int, sketch binary"
+_SAMPLE = "shingle bigint"
+_MEMBERS = "class bigint, hashes binary"
+#: Ids up to which the texts to be compared are picked by broadcast; beyond, by a shuffled join.
+BROADCAST_IDS = 200_000
+_LONGS = [f"k{i}" for i in range(FOLDED)]
 _U = np.uint64
 
 
@@ -77,29 +97,59 @@ def _differ(a: int, b: int) -> int:
     return (DENOMINATOR - NUMERATOR) * (a + b) // (DENOMINATOR + NUMERATOR)
 
 
-def _level_words(shingles: np.ndarray, top: int, show: int) -> np.ndarray:
+class Common:
+    """The shingles that come last in the order."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = np.sort(shingles.astype(_U))
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.shingles >> _U(42)] = True
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        out = self.maybe[values >> _U(42)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.shingles, values[at]), len(self.shingles) - 1)
+            out[at] = self.shingles[place] == values[at]
+        return out
+
+
+def _level_words(shingles: np.ndarray, common: np.ndarray, top: int, show: int) -> np.ndarray:
     if top <= SINGLE_UP_TO:
-        words = W.mix(shingles ^ _U(top))
+        words, last = W.mix(shingles ^ _U(top)), common
     else:
         parts = int(top / SHINGLES_PER_PART)
         part = (shingles >> _U(32)) * _U(parts) >> _U(32)
         begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         words = W.mix(np.bitwise_xor.reduceat(W.mix(shingles), begin) ^ W.mix(part[begin] + _U(top << 32)))
+        last = np.logical_and.reduceat(common, begin)
     if len(words) < show:
         raise ValueError(f"{len(words)} nonempty words where {show} must show; use fewer shingles to a part")
-    return np.partition(words, show - 1)[:show] if show < len(words) else words
+    first = _least(words[~last], show)
+    return first if len(first) == show else np.concatenate([first, _least(words[last], show - len(first))])
 
 
-def shown_words(shingles: np.ndarray) -> np.ndarray:
+def _least(words: np.ndarray, n: int) -> np.ndarray:
+    return np.sort(np.partition(words, n - 1)[:n] if len(words) > n else words)
+
+
+def band(n: int) -> int:
+    """Upper end of the size band of n."""
+    return 1 << 2 * -(-(n - 1).bit_length() // 2)
+
+
+def shown_words(shingles: np.ndarray, common: Common) -> tuple[np.ndarray, int, int]:
+    """Words in order, those of the set's own band first; how many those are; in which bands (1, 2) parts hold one shingle."""
     n = len(shingles)
     if not n:
-        return shingles
-    top = 1 << (n - 1).bit_length()
+        return shingles, 0, 0
+    frequent = common.among(shingles)
+    top = band(n)
     most = n * DENOMINATOR // NUMERATOR
-    out = [_level_words(shingles, top, _differ(n, min(top, most)) + 1)]
+    out = [_level_words(shingles, frequent, top, _differ(n, min(top, most)) + 1)]
     if most > top:
-        out.append(_level_words(shingles, 2 * top, _differ(n, most) + 1))
-    return np.concatenate(out)
+        out.append(_level_words(shingles, frequent, 4 * top, _differ(n, most) + 1))
+    return np.concatenate(out), len(out[0]), (top <= SINGLE_UP_TO) + 2 * (4 * top <= SINGLE_UP_TO)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -107,11 +157,20 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(bits.astype(bool)).tobytes()
 
 
-def similar(a: np.ndarray, b: np.ndarray, sketch_a: bytes, sketch_b: bytes) -> bool:
-    if DENOMINATOR * min(len(a), len(b)) < NUMERATOR * max(len(a), len(b)):
-        return False
-    if (int.from_bytes(sketch_a) ^ int.from_bytes(sketch_b)).bit_count() > _differ(len(a), len(b)):
-        return False
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """(sets, FOLDED) longs: parts of a sketch XOR-ed onto one another, so distances never grow."""
+    bits = np.frombuffer(b"".join(sketches), np.int64).reshape(len(sketches), -1, FOLDED)
+    return np.bitwise_xor.reduce(bits, axis=1)
+
+
+def near(n_a: np.ndarray, n_b: np.ndarray, sketches_a: np.ndarray, sketches_b: np.ndarray) -> np.ndarray:
+    """Mask of the pairs that sizes and sketches do not rule out."""
+    size = DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b)
+    unlike = np.bitwise_count(sketches_a ^ sketches_b).sum(1, dtype=np.int64)
+    return size & (unlike <= (DENOMINATOR - NUMERATOR) * (n_a + n_b) // (DENOMINATOR + NUMERATOR))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
@@ -123,20 +182,33 @@ def _documents(text: pa.Array):
             yield shingle_set(words.hash[words.doc(d)])
 
 
-def _sets(batches):
+def _sample(batches):
+    for batch in batches:
+        sets = list(_documents(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(sets)) if sets else [], pa.int64())], names=["shingle"])
+
+
+def _sets(batches, common):
+    common = common.value
     seen: set[int] = set()
     for batch in batches:
-        n, classes, shown = [], [], []
+        n, classes, shown, own, single, sketches = [], [], [], [], [], []
         for s in _documents(batch.column("text")):
             n.append(len(s))
             classes.append(class_of(s) if len(s) else None)
-            new = len(s) and classes[-1] not in seen
-            shown.append(W.signed(shown_words(s)) if new else None)
-            if new and len(seen) < REMEMBERED:
-                seen.add(classes[-1])
+            words, first, kinds = None, 0, 0
+            if len(s) and classes[-1] not in seen:
+                words, first, kinds = shown_words(s, common)
+                words = W.signed(words)
+                if len(seen) < REMEMBERED:
+                    seen.add(classes[-1])
+            shown.append(words)
+            own.append(first)
+            single.append(kinds)
+            sketches.append(sketch(s) if words is not None else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(shown, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "class", "words"],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(shown, pa.list_(pa.int64())), pa.array(own, pa.int32()), pa.array(single, pa.int32()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "n_shingles", "class", "words", "own", "single", "sketch"],
         )
 
 
@@ -145,68 +217,141 @@ def _members(batches):
         sets = list(_documents(batch.column("text")))
         classes = [class_of(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["class", "n", "sketch", "hashes"],
+            [pa.array(classes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+            names=["class", "hashes"],
         )
 
 
+def _near(batches):
+    def sketches(column):
+        return np.frombuffer(b"".join(x.as_py() for x in column), _U).reshape(len(column), -1)
+
+    for batch in batches:
+        a, b, na, nb, ka, kb = (batch.column(c) for c in ("a", "b", "na", "nb", "ka", "kb"))
+        if batch.num_rows:
+            keep = near(np.asarray(na).astype(np.int64), np.asarray(nb).astype(np.int64), sketches(ka), sketches(kb))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+
+
 def _verify(batches):
     for batch in batches:
-        a, b, ha, hb, ka, kb = (batch.column(c) for c in ("a", "b", "ha", "hb", "ka", "kb"))
-        keep = [
-            similar(np.frombuffer(ha[i].as_buffer(), _U), np.frombuffer(hb[i].as_buffer(), _U), ka[i].as_py(), kb[i].as_py())
-            for i in range(batch.num_rows)
-        ]
+        a, b, ha, hb = (batch.column(c) for c in ("a", "b", "ha", "hb"))
+        keep = [similar(np.frombuffer(ha[i].as_buffer(), _U), np.frombuffer(hb[i].as_buffer(), _U)) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _fold(batches):
+    for batch in batches:
+        if batch.num_rows:
+            longs = folded([x.as_py() for x in batch.column("sketch")])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), *(pa.array(longs[:, i]) for i in range(FOLDED))], names=["class", *_LONGS])
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of the class pairs (a, b) those that sketches do not rule out."""
+
+    def side(name: str) -> DataFrame:
+        return sketches.select(F.col("class").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"k{name}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a bigint, b bigint")
+
+
 def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Of the class pairs (a, b) those that are similar."""
-    one = members.select(F.col("class").alias("a"), F.col("sketch").alias("ka"), F.col("hashes").alias("ha"))
-    two = members.select(F.col("class").alias("b"), F.col("sketch").alias("kb"), F.col("hashes").alias("hb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_verify, "a bigint, b bigint")
 
+    def side(name: str) -> DataFrame:
+        return members.select(F.col("class").alias(name), F.col("hashes").alias(f"h{name}"))
 
-def self_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, component_id of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(rows.mapInArrow(_sets, _SETS), "parity-sets")
-    shown = sets.select("class", F.explode("words").alias("word"))
-
-    # Words of one class are dropped here: nearly all.
-    often = materialize(shown.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word"), "parity-often")
-    under = shown.join(often, "word").distinct()
-    under = materialize(under, "parity-under")
-    under = _open(under.withColumn("comp", F.col("class")))
-
-    texts = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    classes = materialize(texts, "parity-classes")
-    wanted = under.select("class").distinct().join(classes, "class").select("class", "first")
-    wanted = materialize(wanted, "parity-wanted")
-    named = wanted.filter("first is not null")
-    members = rows.join(named.select(F.col("first").alias("doc_id")), "doc_id")
-    members = members.mapInArrow(_members, _MEMBERS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a bigint, b bigint")
+
+
+def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, hashes) of the wanted classes (class, first), from the text of each one's first document."""
+    ids = wanted.filter("first is not null").select(F.col("first").alias("doc_id"))
+    n = wanted.count()
+    members = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id").mapInArrow(_members, _MEMBERS)
     if wanted.filter("first is null").head(1):  # classes of documents without ids
         members = members.union(rows.filter("doc_id is null").mapInArrow(_members, _MEMBERS))
     # A repeated id may bring texts of other classes along.
-    members = materialize(members.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "parity-members")
-
-    found, comps, salts = None, None, 1
-    while under.head(1):
-        # Pivots: the least class of each component that meets under a word, in up to `salts` salts.
-        pivots = under.groupBy("word", F.pmod(F.xxhash64("class"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("class", "comp")).alias("p"))
-        pivots = materialize(pivots.select("word", F.col("p.class").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "parity-pivots")
-        met = under.join(pivots, "word").filter("comp <> pivot_comp")
-        pairs = materialize(met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "parity-pairs")
-        new = links(pairs, members)
-        found = materialize(new if found is None else found.union(new), "parity-links")
-        comps = connected_components(found)
-        left = under.join(pivots.select("word", F.col("pivot").alias("class")), ["word", "class"], "left_anti").select("word", "class")
-        left = left.join(comps.select(F.col("node").alias("class"), F.col("comp").alias("c")), "class", "left")
-        under = _open(materialize(left.select("word", "class", F.coalesce("c", "class").alias("comp")), "parity-left"))
-        salts *= 4
+    return members.join(F.broadcast(wanted.select("class")) if n <= BROADCAST_IDS else wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
+
+def common_shingles(rows: DataFrame, total: int) -> np.ndarray:
+    """Shingles of at least COMMON_IN of about SAMPLE_ROWS documents, the most frequent first; MOST_COMMON at most."""
+    every = max(1, total // SAMPLE_ROWS)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    counts = sample.select("text").mapInArrow(_sample, _SAMPLE).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_IN)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()  # at most MOST_COMMON numbers
+    return np.asarray(found.column(0).combine_chunks()).astype(np.int64).view(_U)
+
+
+def self_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class, component_id of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(Common(common_shingles(rows, rows.count())))
+    shown = rows.mapInArrow(lambda batches: _sets(batches, common), _SETS).withColumn("row", F.monotonically_increasing_id())
+    shown = materialize(shown, "parity-shown")
+    sets = materialize(shown.select("row", "doc_id", "n_shingles", "class"), "parity-sets")
+    sketches = shown.filter("sketch is not null").select("class", F.col("n_shingles").cast("int").alias("n"), "sketch").dropDuplicates(["class"])
+    sketches = materialize(sketches, "parity-sketches")
+
+    # Words that one row alone shows are dropped here: nearly all. Rows are numbered, as small numbers travel well.
+    words = shown.select("row", "own", "single", F.posexplode("words").alias("at", "word"))
+    place = F.when(F.col("at") < F.col("own"), F.col("at")).otherwise(F.col("at") - F.col("own"))
+    alone = F.when(F.col("at") < F.col("own"), F.col("single").bitwiseAND(F.lit(1))).otherwise(F.col("single").bitwiseAND(F.lit(2))) > 0
+    words = words.select("row", "word", F.when(alone, place).otherwise(-place - 1).alias("rank"))
+    often = materialize(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word"), "parity-often")
+    raw = materialize(words.join(often, "word"), "parity-under")
+    drop(shown)
+    drop(often)
+    under = raw.join(sets.select("row", "class", F.col("n_shingles").cast("int").alias("n")), "row").select("word", "class", "n", "rank").distinct()
+    under = materialize(under.withColumn("comp", F.col("class")), "parity-classed")
+    drop(raw)
+    under = _open(under)
+
+    classes = materialize(sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "parity-classes")
+    found, comps, members, salts = None, None, None, 1
+    unlike = F.floor((F.col("n") + F.col("pivot_n")) * F.lit(DENOMINATOR - NUMERATOR) / F.lit(DENOMINATOR + NUMERATOR))
+    before = F.when(F.col("rank") >= 0, F.col("rank") + F.col("pivot_rank")).otherwise(F.greatest(-F.col("rank") - 1, -F.col("pivot_rank") - 1))
+    possible = (F.least("n", "pivot_n") * DENOMINATOR >= F.greatest("n", "pivot_n") * NUMERATOR) & (before <= unlike)
+    distance = sum((F.bit_count(F.col(k).bitwiseXOR(F.col("pivot_k")[k])) for k in _LONGS[1:]), F.bit_count(F.col("k0").bitwiseXOR(F.col("pivot_k")["k0"])))
+    while left := under.count():
+        longs = [k for k in _LONGS if k in under.columns]
+        # Pivots: the least class under a word, in up to `salts` salts.
+        pivots = under.groupBy("word", F.pmod(F.xxhash64("class"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("class", "comp", "n", "rank", *longs)).alias("p"))
+        pivots = pivots.select("word", F.col("p.class").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.n").alias("pivot_n"), F.col("p.rank").alias("pivot_rank"), *([F.struct(*[F.col(f"p.{k}") for k in longs]).alias("pivot_k")] if longs else []))
+        pivots = materialize(pivots, "parity-pivots", left)
+        met = under.join(pivots, "word").filter((F.col("comp") != F.col("pivot_comp")) & possible & ((distance <= unlike) if longs else F.lit(True)))
+        pairs = materialize(met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "parity-pairs", left * salts)
+        close = materialize(close_pairs(pairs, sketches), "parity-close", pairs.count())
+        wanted = close.select(F.col("a").alias("class")).union(close.select("b")).distinct()
+        if members is not None:
+            wanted = wanted.join(members.select("class"), "class", "left_anti")
+        wanted = materialize(wanted.join(classes, "class").select("class", "first"), "parity-wanted", 2 * close.count())
+        if wanted.head(1):
+            more = materialize(whole_sets(rows, wanted), "parity-members")
+            members = more if members is None else members.union(more)
+        if not close.head(1):
+            members = members if members is not None else spark.createDataFrame([], _MEMBERS)
+        new = materialize(links(close, members), "parity-new", close.count())
+        if new.head(1):
+            found = new if found is None else materialize(found.union(new).distinct(), "parity-links", left + found.count())
+            comps = connected_components(found)
+        rest = under.join(pivots.select("word", F.col("pivot").alias("class")), ["word", "class"], "left_anti").drop("comp")
+        if comps is not None:
+            rest = rest.join(comps.select(F.col("node").alias("class"), F.col("comp").alias("c")), "class", "left")
+        rest = rest.withColumn("comp", F.coalesce(F.col("c") if comps is not None else F.lit(None), F.col("class")))
+        rest = materialize(rest.select("word", "class", "n", "rank", "comp", *longs), "parity-left", left)
+        for done in (under, pivots, pairs, close, wanted):
+            drop(done)
+        under = _open(rest, left)
+        if not longs and (left := under.count()):
+            fold = sketches.join(under.select("class").distinct(), "class", "left_semi").mapInArrow(_fold, "class bigint, " + ", ".join(f"{k} bigint" for k in _LONGS))
+            short, under = under, materialize(under.join(materialize(fold, "parity-folded", left), "class"), "parity-sketched", left)
+            drop(short)
+        salts *= 8
     if comps is None:
-        spark = docs.sparkSession
         comps = spark.createDataFrame([], "node long, comp long")
 
     classes = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
@@ -216,15 +361,18 @@ def self_join(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n_shingles", "class").join(classes, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _open(under: DataFrame) -> DataFrame:
-    """Rows of the words under which more than one component is left."""
+def _open(under: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Rows of the words under which more than one component is left; the table that is handed in goes."""
     several = under.groupBy("word").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("word")
-    return materialize(under.join(materialize(several, "parity-words"), "word"), "parity-open")
+    several = materialize(several, "parity-words", most_rows)
+    out = materialize(under.join(several, "word"), "parity-open", most_rows)
+    drop(several)
+    drop(under)
+    return out
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its least doc_id."""
     joined = self_join(docs)
-    drop = materialize(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "parity-drop")
-    kept = docs.join(drop, "doc_id", "left_anti")
-    return kept
+    gone = materialize(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "parity-drop")
+    return docs.join(gone, "doc_id", "left_anti")
