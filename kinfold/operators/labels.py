@@ -116,31 +116,35 @@ def work_label(works_a: Column, works_b: Column, attributes_a: Column, attribute
     from its first recording (null: unknown), ``attributes_*`` those on any work.
     """
     skip = F.array(*map(F.lit, SKIPPED_ATTRIBUTES))
-    n = S.shared(works_a, works_b)
-    clean_a, clean_b = F.array_remove(shared_a, "demo"), F.array_remove(shared_b, "demo")
 
     def kinds(c: Column) -> Column:
         return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.array_contains(c, k), F.lit(v)) for k, v in PERFORMANCE_KINDS.items()]))))
 
-    ka, kb = kinds(clean_a), kinds(clean_b)
-    either = F.array_sort(F.array_union(ka, kb))
-    kind = F.get(either, F.lit(0))
-    gaps = gap_a.isNotNull() & gap_b.isNotNull() & (other_performer | S.known(ka) | S.known(kb))
-    lo, hi = F.least(gap_a, gap_b), F.greatest(gap_a, gap_b)
+    clean = F.struct(F.array_remove(shared_a, "demo").alias("a"), F.array_remove(shared_b, "demo").alias("b"))
     none = F.lit(None).cast(LABEL)
-    return (
-        F.when(~S.both_known(works_a, works_b), none)
-        .when((n == 0) & (S.overlap(attributes_a, skip) | S.overlap(attributes_b, skip)), none)
-        .when(n == 0, _label("unrelated", why="mb_work_disjoint"))
-        .when(n > 1, none)
-        .when(S.overlap(clean_a, skip) | S.overlap(clean_b, skip), none)
-        .when(gaps & (lo >= 2), _label("sibling", kind, why="mb_work_gap_siblings"))
-        .when(gaps & (lo <= 1) & (hi >= 2), _label("related", kind, F.when(gap_a > gap_b, F.lit("a")).otherwise(F.lit("b")), "mb_work_gap_derived"))
-        .when(~S.known(ka) & ~S.known(kb), none)
-        .when(S.known(ka) & ~S.known(kb), _label("related", kind, "a", "mb_work_attr"))
-        .when(S.known(kb) & ~S.known(ka), _label("related", kind, "b", "mb_work_attr"))
-        .otherwise(_label("sibling", kind, why="mb_work_siblings"))
-    )
+
+    def decide(x: Column) -> Column:
+        ka, kb, kind, n = x["ka"], x["kb"], F.get(F.array_sort(F.array_union(x["ka"], x["kb"])), F.lit(0)), x["n"]
+        gaps = x["ga"].isNotNull() & x["gb"].isNotNull() & (x["other"] | S.known(ka) | S.known(kb))
+        lo, hi = F.least(x["ga"], x["gb"]), F.greatest(x["ga"], x["gb"])
+        return (
+            F.when((n == 0) & x["skip"], none)
+            .when(n == 0, _label("unrelated", why="mb_work_disjoint"))
+            .when((n > 1) | x["skip_shared"], none)
+            .when(gaps & (lo >= 2), _label("sibling", kind, why="mb_work_gap_siblings"))
+            .when(gaps & (lo <= 1) & (hi >= 2), _label("related", kind, F.when(x["ga"] > x["gb"], F.lit("a")).otherwise(F.lit("b")), "mb_work_gap_derived"))
+            .when(~S.known(ka) & ~S.known(kb), none)
+            .when(S.known(ka) & ~S.known(kb), _label("related", kind, "a", "mb_work_attr"))
+            .when(S.known(kb) & ~S.known(ka), _label("related", kind, "b", "mb_work_attr"))
+            .otherwise(_label("sibling", kind, why="mb_work_siblings"))
+        )
+
+    # What the rules ask for is bound once per row; each rule then reads it.
+    facts = F.transform(F.array(clean), lambda c: F.struct(
+        F.size(F.array_intersect(works_a, works_b)).alias("n"), kinds(c["a"]).alias("ka"), kinds(c["b"]).alias("kb"), (S.overlap(c["a"], skip) | S.overlap(c["b"], skip)).alias("skip_shared"),
+        (S.overlap(attributes_a, skip) | S.overlap(attributes_b, skip)).alias("skip"), gap_a.alias("ga"), gap_b.alias("gb"), other_performer.alias("other"),
+    ))
+    return F.when(S.both_known(works_a, works_b), F.get(F.transform(facts, decide), F.lit(0)))
 
 
 def artist_labels(pairs: DataFrame, found: DataFrame) -> DataFrame:
