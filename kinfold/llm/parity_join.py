@@ -26,8 +26,9 @@ the words before it are more than D: together where parts hold one shingle, on
 either side where they hold more.
 
 Verification.  Candidates are compared by size and by the Hamming distance of
-2048-bit parity sketches (again a lower bound) before whole sets are joined to
-them, then by intersection.  The same sketches, folded by XOR to 1024 bits, stand
+parity sketches of four bits a shingle and more (again a lower bound) before
+whole sets are joined to them, then by intersection.  A sketch's length is a power
+of two, so of two the longer is folded to the other.  The same sketches, folded by XOR to 1024 bits, stand
 in the rows themselves from the second round on, where words are left that many
 unlike sets share.
 
@@ -60,7 +61,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SINGLE_UP_TO = 256
 SHINGLES_PER_PART = 2.2
-SKETCH_BITS = 2048
+#: Bits of a sketch, at least and for each shingle.
+SKETCH_BITS, BITS_PER_SHINGLE = 2048, 4
+#: Jobs in which a round's close pairs are verified, so that their sets take less disk at a time.
+VERIFY_JOBS, VERIFY_PAIRS = 4, 8000
 #: Documents in the sample that tells common shingles, and in how many of them one must be.
 SAMPLE_ROWS, COMMON_IN = 16_000, 2
 #: Most common shingles that are told apart; it bounds the broadcast and changes the order only.
@@ -153,21 +157,23 @@ def shown_words(shingles: np.ndarray, common: Common) -> tuple[np.ndarray, int,
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    bits = np.bincount((shingles >> _U(20)) % _U(SKETCH_BITS), minlength=SKETCH_BITS) & 1
+    size = max(SKETCH_BITS, 1 << (BITS_PER_SHINGLE * len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles >> _U(20)) % _U(size), minlength=size) & 1
     return np.packbits(bits.astype(bool)).tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """(sets, FOLDED) longs: parts of a sketch XOR-ed onto one another, so distances never grow."""
-    bits = np.frombuffer(b"".join(sketches), np.int64).reshape(len(sketches), -1, FOLDED)
-    return np.bitwise_xor.reduce(bits, axis=1)
+def fold(bits: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch's parts XOR-ed onto one another: distances never grow."""
+    return bits if len(bits) == longs else np.bitwise_xor.reduce(bits.reshape(-1, longs), axis=0)
 
 
-def near(n_a: np.ndarray, n_b: np.ndarray, sketches_a: np.ndarray, sketches_b: np.ndarray) -> np.ndarray:
-    """Mask of the pairs that sizes and sketches do not rule out."""
-    size = DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b)
-    unlike = np.bitwise_count(sketches_a ^ sketches_b).sum(1, dtype=np.int64)
-    return size & (unlike <= (DENOMINATOR - NUMERATOR) * (n_a + n_b) // (DENOMINATOR + NUMERATOR))
+def near(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
+    """Whether sizes and sketches leave a pair possible."""
+    if DENOMINATOR * min(n_a, n_b) < NUMERATOR * max(n_a, n_b):
+        return False
+    a, b = np.frombuffer(sketch_a, _U), np.frombuffer(sketch_b, _U)
+    longs = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, longs) ^ fold(b, longs)).sum()) <= _differ(n_a, n_b)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -223,14 +229,10 @@ def _members(batches):
 
 
 def _near(batches):
-    def sketches(column):
-        return np.frombuffer(b"".join(x.as_py() for x in column), _U).reshape(len(column), -1)
-
     for batch in batches:
-        a, b, na, nb, ka, kb = (batch.column(c) for c in ("a", "b", "na", "nb", "ka", "kb"))
-        if batch.num_rows:
-            keep = near(np.asarray(na).astype(np.int64), np.asarray(nb).astype(np.int64), sketches(ka), sketches(kb))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+        a, b, *rest = (batch.column(c) for c in ("a", "b", "na", "nb", "ka", "kb"))
+        keep = [near(*row) for row in zip(*(c.to_pylist() for c in rest), strict=True)]
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(batches):
@@ -243,7 +245,7 @@ def _verify(batches):
 def _fold(batches):
     for batch in batches:
         if batch.num_rows:
-            longs = folded([x.as_py() for x in batch.column("sketch")])
+            longs = np.stack([fold(np.frombuffer(x.as_py(), np.int64), FOLDED) for x in batch.column("sketch")])
             yield pa.RecordBatch.from_arrays([batch.column("class"), *(pa.array(longs[:, i]) for i in range(FOLDED))], names=["class", *_LONGS])
 
 
@@ -259,10 +261,17 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Of the class pairs (a, b) those that are similar."""
 
-    def side(name: str) -> DataFrame:
-        return members.select(F.col("class").alias(name), F.col("hashes").alias(f"h{name}"))
+    def side(part: DataFrame, name: str) -> DataFrame:
+        return members.join(part.select(F.col(name).alias("class")).distinct(), "class", "left_semi").select(F.col("class").alias(name), F.col("hashes").alias(f"h{name}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a bigint, b bigint")
+    n = pairs.count()
+    jobs = max(1, min(VERIFY_JOBS, -(-n // VERIFY_PAIRS)))
+    found = None
+    for job in range(jobs):
+        part = pairs if jobs == 1 else pairs.filter(F.pmod(F.xxhash64("a"), F.lit(jobs)) == job)
+        own = materialize(part.join(side(part, "a"), "a").join(side(part, "b"), "b").mapInArrow(_verify, "a bigint, b bigint"), "parity-new", n)
+        found = own if found is None else found.union(own)
+    return found
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -334,7 +343,7 @@ def self_join(docs: DataFrame) -> DataFrame:
             members = more if members is None else members.union(more)
         if not close.head(1):
             members = members if members is not None else spark.createDataFrame([], _MEMBERS)
-        new = materialize(links(close, members), "parity-new", close.count())
+        new = links(close, members)
         if new.head(1):
             found = new if found is None else materialize(found.union(new).distinct(), "parity-links", left + found.count())
             comps = connected_components(found)
