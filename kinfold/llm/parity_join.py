@@ -311,12 +311,17 @@ def self_join(docs: DataFrame) -> DataFrame:
     alone = F.when(F.col("at") < F.col("own"), F.col("single").bitwiseAND(F.lit(1))).otherwise(F.col("single").bitwiseAND(F.lit(2))) > 0
     words = words.select("row", "word", F.when(alone, place).otherwise(-place - 1).alias("rank"))
     often = materialize(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word"), "parity-often")
-    raw = materialize(words.join(often, "word"), "parity-under")
+    # In two jobs by word, each of which lets its shuffle go before the next.
+    halves = []
+    for half in range(2):
+        mine = F.pmod("word", F.lit(2)) == half
+        halves.append(materialize(words.filter(mine).join(often.filter(mine), "word"), "parity-under"))
     drop(shown)
     drop(often)
-    under = raw.join(sets.select("row", "class", F.col("n_shingles").cast("int").alias("n")), "row").select("word", "class", "n", "rank").distinct()
+    under = halves[0].union(halves[1]).join(sets.select("row", "class", F.col("n_shingles").cast("int").alias("n")), "row").select("word", "class", "n", "rank").distinct()
     under = materialize(under.withColumn("comp", F.col("class")), "parity-classed")
-    drop(raw)
+    for half in halves:
+        drop(half)
     under = _open(under)
 
     classes = materialize(sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "parity-classes")
