@@ -67,6 +67,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """(row = doc_id, source, size), written: texts are read once, though sorting by range reads its input twice."""
+    rows = docs.select(F.col("doc_id").alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    return materialize(rows, "mix-sizes")
+
+
 def sample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` as struct ``row``, with size, source_size, target and copies."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))

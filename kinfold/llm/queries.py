@@ -39,8 +39,7 @@ def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("row"), F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"))
+    rows = mixing.sizes(_table(spark, sf_dir, "documents"))
     return mixing.draw(rows, F.col("row")).select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
