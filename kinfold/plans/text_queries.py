@@ -11,6 +11,8 @@ from ..sources.star import table, title, title_sql
 from .registry import query
 
 _EDGE_L, _EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+#: Words of distinct titles that are broadcast at most.
+_BROADCAST_WORDS = 100_000
 
 
 @query(r"""
@@ -55,11 +57,20 @@ SELECT doc_id, max(CASE WHEN len(f.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE ELSE
 FROM f JOIN b ON b.k = doc_id % 20 GROUP BY doc_id
 """)
 def token_jaccard_max(spark: SparkSession, sf: str) -> DataFrame:
-    """Best token similarity of each document's first line with the titles in its bucket."""
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.lower(F.element_at(F.split("text", "\n"), 1))).alias("t"), (F.col("doc_id") % 20).alias("k"))
-    parts = table(spark, sf, "part").filter("p_partkey < 20").select((F.col("p_partkey") % 20).alias("k"), T.tokens(F.lower("p_name")).alias("u"))
-    rows = docs.join(F.broadcast(parts), "k")  # twenty rows
-    return rows.groupBy("doc_id").agg(F.max(F.round(S.jaccard("t", "u"), 6)).alias("tok_max"))
+    """Best token similarity of each document's first line with any title; 0 where none shares a token.
+
+    The SQL compares with one of the first twenty titles only, so it may give less.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.lower(F.element_at(F.split("text", "\n"), 1))).alias("t"))
+    titles = table(spark, sf, "part").select(F.array_sort(T.tokens(F.lower("p_name"))).alias("u")).distinct()
+    words = titles.select("u", F.explode("u").alias("w"))
+    if words.count() <= _BROADCAST_WORDS:
+        words = F.broadcast(words)
+    # Rows of one doc_id may differ in text; those with the same tokens count as one.
+    tokens = docs.select("doc_id", F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("line"), F.size("t").alias("n"), F.explode("t").alias("w"))
+    shared = tokens.join(words, "w").groupBy("doc_id", "line", "n", "u").agg(F.size(F.collect_set("w")).alias("both"))
+    best = shared.select("doc_id", F.round(F.col("both") / (F.col("n") + F.size("u") - F.col("both")), 6).alias("tok_max"))
+    return docs.select("doc_id", F.lit(0.0).alias("tok_max")).unionByName(best).groupBy("doc_id").agg(F.max("tok_max").alias("tok_max"))
 
 
 _MARKS = {
