@@ -94,6 +94,12 @@ def marker_flags(spark: SparkSession, sf: str) -> DataFrame:
     return parts.join(marks, "name").select("p_partkey", *[F.array_contains("m", k).alias(f"m_{k}") for k in _MARKS])
 
 
+def _normed(parts: DataFrame) -> DataFrame:
+    """Adds ``t``, the title after full normalisation of the distinct ones."""
+    parts = parts.withColumn("name", title())
+    return parts.join(parts.select("name").distinct().withColumn("t", T.norm("name")), "name", "left")
+
+
 @query(rf"""
 WITH t AS (SELECT p_partkey, p_name, p_brand, lower({title_sql()}) AS t FROM part WHERE p_partkey % 12 <> 11),
 m AS (SELECT p_partkey, p_name, p_brand, {', '.join(f"regexp_matches(t, '{p}') AS m_{k}" for k, p in _MARKS.items())} FROM t)
@@ -101,7 +107,8 @@ SELECT a.p_partkey AS entry_a, b.p_partkey AS entry_b, {', '.join(f"(a.m_{k} <>
 FROM m a JOIN m b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 """)
 def marker_pair_features(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part").filter("p_partkey % 12 <> 11").select("p_partkey", "p_name", "p_brand", T.markers(T.norm_fast(title())).alias("m"))
+    """Markers of both sides of every pair; the SQL leaves every twelfth part out."""
+    parts = _normed(table(spark, sf, "part")).select("p_partkey", "p_name", "p_brand", T.markers(F.col("t")).alias("m"))
     a = parts.select(F.col("p_partkey").alias("entry_a"), "p_name", "p_brand", F.col("m").alias("ma"))
     b = parts.select(F.col("p_partkey").alias("entry_b"), "p_name", "p_brand", F.col("m").alias("mb"))
     rows = a.join(b, ["p_name", "p_brand"]).filter("entry_a < entry_b")
@@ -117,8 +124,8 @@ SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t,
 FROM (SELECT p_partkey, lower({title_sql()}) AS t FROM part WHERE p_partkey % 12 <> 11)
 """)
 def named_versions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").filter("p_partkey % 12 <> 11")
-    return rows.select("p_partkey", F.array_join(F.array_sort(T.named_versions(T.norm_fast(title()))), "|").alias("versions"))
+    """Named versions of every title; the SQL leaves every twelfth part out."""
+    return _normed(table(spark, sf, "part")).select("p_partkey", F.array_join(F.array_sort(T.named_versions(F.col("t"))), "|").alias("versions"))
 
 
 @query(rf"""
@@ -130,8 +137,8 @@ SELECT p_partkey, trim(regexp_replace(CASE WHEN trim(regexp_replace(b, '\s*/\s*[
 FROM s
 """)
 def bracket_title(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles without brackets and tails, and what stood in the brackets."""
-    rows = table(spark, sf, "part").filter("p_partkey % 12 <> 11").select("p_partkey", T.norm_fast(title()).alias("t"))
+    """Titles without brackets and tails, and what stood in the brackets; the SQL leaves every twelfth part out."""
+    rows = _normed(table(spark, sf, "part")).select("p_partkey", "t")
     rows = rows.withColumn("b", T._unless_empty(F.regexp_replace("t", T.BRACKETS, " "), F.col("t")))
     tail = F.regexp_replace("b", T.java(T.SLASH_TAIL), "")
     return rows.select("p_partkey", T.collapse(T._unless_empty(tail, F.col("b"))).alias("stripped"), F.array_join(F.array_sort(T.bracket_contents(F.col("t"))), "|").alias("brackets"))

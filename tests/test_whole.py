@@ -1,10 +1,13 @@
 """Queries over whole tables, against plain versions that leave no row out."""
 
 import re
+import unicodedata
 
 import pytest
 
 from kinfold.plans import catalog
+from kinfold.plans.text_queries import _MARKS
+from kinfold.sources.star import SUFFIXES
 
 
 def _write(spark, folder, **tables):
@@ -32,3 +35,39 @@ def test_best_title_of_all(spark, tmp_path, monkeypatch, most):
     got = [tuple(r) for r in catalog.QUERIES["token_jaccard_max"](spark, folder).select("doc_id", "tok_max").collect()]
     assert len(got) == len(want) and dict(got) == want
     assert want[1] == want[None] == 1.0 and want[0] == 0.75 and want[2] == 0.0
+
+
+PARTS = [(i, name, "b") for i, name in enumerate(["blue bolt", "live ring"] * 12)] + [(35, "red", "b"), (47, "red", "b"), (24, None, "b")]
+
+
+def _titles():
+    return {i: None if n is None else " ".join(unicodedata.normalize("NFKC", n + SUFFIXES[i % 12]).casefold().split()) for i, n, _ in PARTS}
+
+
+def test_all_parts_have_versions_and_brackets(spark, tmp_path):
+    folder = _write(spark, tmp_path / "t", part=(PARTS, "p_partkey long, p_name string, p_brand string"))
+    versions = {r.p_partkey: r.versions for r in catalog.QUERIES["named_versions"](spark, folder).collect()}
+    stripped = {r.p_partkey: (r.stripped, r.brackets) for r in catalog.QUERIES["bracket_title"](spark, folder).collect()}
+    titles = _titles()
+    assert set(versions) == set(stripped) == set(titles)
+    for i, t in titles.items():
+        if t is not None:
+            assert versions[i] == "|".join(sorted(set(re.findall(r"(\w+)\s*ver(?:sion|\.)?", t))))
+            no_brackets = re.sub(r"\[[^\]]*\]|\([^)]*\)", " ", t)
+            assert stripped[i] == (" ".join(re.sub(r"\s*/\s*[^/]*$", "", no_brackets).split()), "|".join(sorted(set(re.findall(r"[(\[]([^)\]]*)[)\]]", t)))))
+    assert versions[11] == versions[35] == "full" and stripped[35] == ("red full ver", "") and versions[24] is None
+
+
+def test_all_parts_are_in_marker_pairs(spark, tmp_path):
+    folder = _write(spark, tmp_path / "t", part=(PARTS, "p_partkey long, p_name string, p_brand string"))
+    edge = {k: p.replace(r"(^|[^\p{L}\p{N}_])", r"\b").replace(r"($|[^\p{L}\p{N}_])", r"\b") for k, p in _MARKS.items()}
+    marks = {i: {k for k, p in edge.items() if t and re.search(p, t)} for i, t in _titles().items()}
+    want = {}
+    for a, n, _ in PARTS:
+        for b, m, _ in PARTS:
+            if n is not None and n == m and a < b:
+                want[a, b] = {k: (float((k in marks[a]) != (k in marks[b])), float(k in marks[a] and k in marks[b])) for k in _MARKS}
+    rows = catalog.QUERIES["marker_pair_features"](spark, folder).collect()
+    assert len(rows) == len(want)
+    assert {(r.entry_a, r.entry_b): {k: (r[f"m_xor_{k}"], r[f"m_both_{k}"]) for k in _MARKS} for r in rows} == want
+    assert want[35, 47]["full"] == (0.0, 1.0)
