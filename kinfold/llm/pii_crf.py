@@ -15,8 +15,12 @@ personal data with at least ``CERTAIN``, and a skip edge joins it to a token of
 that label, its span is added.  So a number that is
 written once with its country code and again without it is found both times.
 
-Skip edges go from each token to the one before of the same key, so a token that
-occurs a thousand times makes a thousand edges and not a million.
+Skip edges go from each token to an observed one of the same key, the last before
+it or else the first after it; where none is observed, to the one before of the
+key.  So what is observed reaches every repeat in one step and repeats do not
+outvote it, and a token that occurs a thousand times makes a thousand edges a key
+and not a million.  Messages pass until they no longer change; the bound on rounds
+grows with the tokens, so that it cuts off no evidence.
 
 Weights are fitted here, on a bounded sample: at most ``TRAIN_ROWS`` texts of
 least hash that have candidates, labelled by the base patterns.  A text's own
@@ -44,6 +48,7 @@ TRAIN_ROWS = 2000
 #: Longest text that the sample takes, in code points.
 TRAIN_CHARS = 200_000
 CERTAIN = 0.7
+#: Bound of the rounds of message passing, besides two a token.
 ROUNDS = 12
 DAMPING = 0.3
 #: Bounds of learned factor weights.
@@ -158,14 +163,26 @@ def keys(t: Token) -> list[str]:
     return ["n" + digits, "t" + digits[-SAME_TAIL:]] if len(digits) > SAME_TAIL else ["n" + digits]
 
 
-def skip_edges(tokens: list[Token]) -> list[tuple[int, int]]:
+def skip_edges(tokens: list[Token], seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges to the token before of the same key, or to an observed one where ``seen`` tells any of the key."""
+    named = [keys(t) for t in tokens]
+    told = {k for i, ks in enumerate(named) if seen and seen[i] for k in ks}
     last: dict[str, int] = {}
+    known: dict[str, int] = {}
+    waiting: dict[str, list[int]] = {}
     edges = set()
-    for i, t in enumerate(tokens):
-        for k in keys(t):
-            if k in last:
+    for i, ks in enumerate(named):
+        for k in ks:
+            if k in last and told.isdisjoint(set(ks).intersection(named[last[k]])):
                 edges.add((last[k], i))
             last[k] = i
+            if seen and seen[i]:
+                known[k] = i
+                edges.update((j, i) for j in waiting.pop(k, ()))
+            elif seen and k in known:
+                edges.add((known[k], i))
+            elif k in told:
+                waiting.setdefault(k, []).append(i)
     return sorted(edges)
 
 
@@ -237,15 +254,15 @@ def fit(texts: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1
     return Weights(w, lift(chain) / 2, lift(skip))
 
 
-def marginals(weights: Weights, tokens: list[Token], seen: list[int], rounds: int = ROUNDS) -> np.ndarray:
+def marginals(weights: Weights, tokens: list[Token], seen: list[int], rounds: int | None = None) -> np.ndarray:
     """Loopy sum-product over the chain and skip edges; observed tokens are fixed."""
     n = len(tokens)
     node = np.stack([features(t) for t in tokens]) @ weights.node
     node -= node.max(1, keepdims=True)
     fixed = np.array(seen)
-    node[fixed > 0] = -50.0
+    node[fixed > 0] = -np.inf  # no number of messages outweighs it
     node[fixed > 0, fixed[fixed > 0]] = 0.0
-    skip = skip_edges(tokens)
+    skip = skip_edges(tokens, seen)
     near = [(i, i + 1) for i in range(n - 1)]
     if not skip and not near:
         return _normal(node)
@@ -255,7 +272,7 @@ def marginals(weights: Weights, tokens: list[Token], seen: list[int], rounds: in
     factor = np.concatenate([factor, factor.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edge), 2 * len(edge)), np.arange(len(edge))])
     message = np.zeros((len(src), N_LABELS))
-    for _ in range(rounds):
+    for _ in range(rounds or ROUNDS + 2 * n):
         belief = node.copy()
         np.add.at(belief, dst, message)
         out = belief[src] - message[back]
@@ -284,7 +301,7 @@ def added_spans(weights: Weights, text: str, base: list[tuple[int, int, int]], c
     if all(seen):
         return []
     best = (p := marginals(weights, tokens, seen)).argmax(1)
-    like = {i for a, b in skip_edges(tokens) if best[a] == best[b] for i in (a, b)}
+    like = {i for a, b in skip_edges(tokens, seen) if best[a] == best[b] for i in (a, b)}
     return [(t.start, int(best[i]) - 1, t.end) for i, t in enumerate(tokens) if not seen[i] and best[i] and i in like and p[i].max() >= certain]
 
 
