@@ -108,3 +108,13 @@ def test_messages_pass_until_they_settle():
         assert p[i] == pytest.approx(exact / exact.sum(), abs=1e-3)
         m = m @ f
         m /= m.sum()
+
+
+def test_siblings_by_any_line(spark, tmp_path):
+    parts = [(i, "blue bolt", "b") for i in range(1, 7)]
+    lines = [(10, 1, 1), (10, 2, 5), (10, 3, 4), (11, 3, 2), (11, 7, 3), (12, 1, 6)]
+    folder = _write(spark, tmp_path / "t", part=(parts, "p_partkey long, p_name string, p_brand string"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long"))
+    got = {(r.entry_a, r.entry_b): r.verdict for r in catalog.QUERIES["provider_siblings"](spark, folder).collect()}
+    orders = {p: {o for o, _, q in lines if q == p} for p, _, _ in parts}
+    assert got == {(a, b): "MERGE" if (a + b) % 2 == 0 else "DISTINCT" if orders[a] & orders[b] else "RELATE" for a in orders for b in orders if a < b}
+    assert got[2, 3] == got[1, 4] == got[4, 5] == "DISTINCT" and got[1, 2] == "RELATE"
