@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token output", token_output),
 ]
 
-#: The quality verdicts and the tokenizer cannot be put in SQL; a plain version in the tests is the measure.
+#: The quality verdicts and the tokenizer cannot be put in SQL. The tests hold each operator against a plain version; none runs the stages in a row.
 ORACLE_SQL = None
 
 
