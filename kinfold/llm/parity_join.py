@@ -15,8 +15,9 @@ document shows the first D + 1 of its nonempty words; the first word that two
 similar sets share is among those of either.  Joining on shown words therefore
 loses no pair, whatever the order.  It is chosen so that few pairs come up: words
 made of common shingles alone, as counted in a bounded sample of the documents,
-come last; the others stand by their hash.  Parts hold about two shingles, so a
-word only matches where the whole part does.  In bands of up to 256 shingles each
+come last; the others stand by their hash.  Parts hold up to about two shingles, so a
+word only matches where the whole part does; in the band of up to 64 shingles there are
+as many parts as shingles, so that enough of them are not empty, and in those of up to 16 each
 shingle has a part of its own.  A set also shows words at the next band up, if a partner may
 lie there.
 
@@ -41,12 +42,20 @@ of a large group of copies are never made.
 Cases: null, empty and wordless texts have no shingles and link with nothing
 (each its own component); texts of one to four words have one shingle, the whole
 sequence; repeated rows with one doc_id are one document each, in one class;
-documents with a null id get a null component unless linked; extra columns are
-ignored.
+documents with a null id get a null component unless linked; very long texts are
+read whole, their sketches grow with their sets; extra columns are ignored.
+
+Shingles and sets are told apart by 64-bit hashes.  Two of n different sets are
+taken for one with a probability of about n * n / 2 ** 65: 1e-6 for ten million
+documents, while of 3e10 documents some 25 pairs are expected; a pair's
+similarity is off only where two of its own shingles collide (1e-9 for sets of
+a hundred thousand).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,13 +63,13 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import connected_components
-from .storage import drop, materialize
+from .storage import drop, fresh, materialize
 
 SHINGLE = 5
 #: Similarity as a ratio of integers: at least 75 / 100.
 NUMERATOR, DENOMINATOR = 75, 100
-SINGLE_UP_TO = 256
-SHINGLES_PER_PART = 2.2
+#: Band up to which a part holds one shingle; band up to which there are as many parts as shingles; shingles of a part above.
+SINGLE_UP_TO, EVEN_UP_TO, SHINGLES_PER_PART = 16, 64, 2.2
 #: Bits of a sketch, at least and for each shingle.
 SKETCH_BITS, BITS_PER_SHINGLE = 2048, 4
 #: Jobs in which a round's close pairs are verified, so that their sets take less disk at a time.
@@ -74,7 +83,7 @@ FOLDED = 16
 #: Classes that a worker remembers to have shown already.
 REMEMBERED = 200_000
 
-_SETS = "doc_id bigint, n_shingles bigint, class bigint, words array<bigint>, own int, single int, sketch binary"
+_SETS = "doc_id bigint, n_shingles bigint, class bigint, words array<bigint>, own int, single int, sketch binary, digest binary"
 _SAMPLE = "shingle bigint"
 _MEMBERS = "class bigint, hashes binary"
 #: Ids up to which the texts to be compared are picked by broadcast; beyond, by a shuffled join.
@@ -122,7 +131,7 @@ def _level_words(shingles: np.ndarray, common: np.ndarray, top: int, show: int)
     if top <= SINGLE_UP_TO:
         words, last = W.mix(shingles ^ _U(top)), common
     else:
-        parts = int(top / SHINGLES_PER_PART)
+        parts = top if top <= EVEN_UP_TO else int(top / SHINGLES_PER_PART)
         part = (shingles >> _U(32)) * _U(parts) >> _U(32)
         begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         words = W.mix(np.bitwise_xor.reduceat(W.mix(shingles), begin) ^ W.mix(part[begin] + _U(top << 32)))
@@ -182,15 +191,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _documents(text: pa.Array):
+    """The set and the text's digest of every document."""
     for lo, hi, at, data in W.blocks(text):
         words = W.split(at, data, W.NOT_SPACE, lower=True)
         for d in range(hi - lo):
-            yield shingle_set(words.hash[words.doc(d)])
+            yield shingle_set(words.hash[words.doc(d)]), hashlib.sha1(data[at[d] : at[d + 1]]).digest()
 
 
 def _sample(batches):
     for batch in batches:
-        sets = list(_documents(batch.column("text")))
+        sets = [s for s, _ in _documents(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(sets)) if sets else [], pa.int64())], names=["shingle"])
 
 
@@ -198,8 +208,9 @@ def _sets(batches, common):
     common = common.value
     seen: set[int] = set()
     for batch in batches:
-        n, classes, shown, own, single, sketches = [], [], [], [], [], []
-        for s in _documents(batch.column("text")):
+        n, classes, shown, own, single, sketches, digests = [], [], [], [], [], [], []
+        for s, digest in _documents(batch.column("text")):
+            digests.append(digest)
             n.append(len(s))
             classes.append(class_of(s) if len(s) else None)
             words, first, kinds = None, 0, 0
@@ -213,14 +224,14 @@ def _sets(batches, common):
             single.append(kinds)
             sketches.append(sketch(s) if words is not None else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(shown, pa.list_(pa.int64())), pa.array(own, pa.int32()), pa.array(single, pa.int32()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "class", "words", "own", "single", "sketch"],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(shown, pa.list_(pa.int64())), pa.array(own, pa.int32()), pa.array(single, pa.int32()), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary())],
+            names=["doc_id", "n_shingles", "class", "words", "own", "single", "sketch", "digest"],
         )
 
 
 def _members(batches):
     for batch in batches:
-        sets = list(_documents(batch.column("text")))
+        sets = [s for s, _ in _documents(batch.column("text"))]
         classes = [class_of(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
             [pa.array(classes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -249,8 +260,15 @@ def _fold(batches):
             yield pa.RecordBatch.from_arrays([batch.column("class"), *(pa.array(longs[:, i]) for i in range(FOLDED))], names=["class", *_LONGS])
 
 
-def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of the class pairs (a, b) those that sketches do not rule out."""
+def _picked(table: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Rows of a table that grows with the corpus whose class is among ``keys``, ``n`` at most; read by as many tasks as it has splits."""
+    return table.join(F.broadcast(keys) if n <= BROADCAST_IDS else keys, "class", "left_semi")
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
+    """Of the ``n`` class pairs (a, b) those that sketches do not rule out."""
+    keys = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sketches = materialize(_picked(sketches, keys, 2 * n), "parity-met")
 
     def side(name: str) -> DataFrame:
         return sketches.select(F.col("class").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"k{name}"))
@@ -294,14 +312,14 @@ def common_shingles(rows: DataFrame, total: int) -> np.ndarray:
     return np.asarray(found.column(0).combine_chunks()).astype(np.int64).view(_U)
 
 
-def self_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, component_id of every row."""
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, class, digest); classes (class, comp); components of several rows (comp, component_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(Common(common_shingles(rows, rows.count())))
     shown = rows.mapInArrow(lambda batches: _sets(batches, common), _SETS).withColumn("row", F.monotonically_increasing_id())
     shown = materialize(shown, "parity-shown")
-    sets = materialize(shown.select("row", "doc_id", "n_shingles", "class"), "parity-sets")
+    sets = materialize(shown.select("row", "doc_id", "n_shingles", "class", "digest"), "parity-sets")
     sketches = shown.filter("sketch is not null").select("class", F.col("n_shingles").cast("int").alias("n"), "sketch").dropDuplicates(["class"])
     sketches = materialize(sketches, "parity-sketches")
 
@@ -338,11 +356,12 @@ def self_join(docs: DataFrame) -> DataFrame:
         pivots = materialize(pivots, "parity-pivots", left)
         met = under.join(pivots, "word").filter((F.col("comp") != F.col("pivot_comp")) & possible & ((distance <= unlike) if longs else F.lit(True)))
         pairs = materialize(met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "parity-pairs", left * salts)
-        close = materialize(close_pairs(pairs, sketches), "parity-close", pairs.count())
+        n = pairs.count()
+        close = materialize(close_pairs(pairs, sketches, n), "parity-close", n)
         wanted = close.select(F.col("a").alias("class")).union(close.select("b")).distinct()
         if members is not None:
             wanted = wanted.join(members.select("class"), "class", "left_anti")
-        wanted = materialize(wanted.join(classes, "class").select("class", "first"), "parity-wanted", 2 * close.count())
+        wanted = materialize(_picked(classes, wanted, 2 * close.count()).select("class", "first"), "parity-wanted")
         if wanted.head(1):
             more = materialize(whole_sets(rows, wanted), "parity-members")
             members = more if members is None else members.union(more)
@@ -361,8 +380,8 @@ def self_join(docs: DataFrame) -> DataFrame:
             drop(done)
         under = _open(rest, left)
         if not longs and (left := under.count()):
-            fold = sketches.join(under.select("class").distinct(), "class", "left_semi").mapInArrow(_fold, "class bigint, " + ", ".join(f"{k} bigint" for k in _LONGS))
-            short, under = under, materialize(under.join(materialize(fold, "parity-folded", left), "class"), "parity-sketched", left)
+            fold = _picked(sketches, under.select("class").distinct(), left).mapInArrow(_fold, "class bigint, " + ", ".join(f"{k} bigint" for k in _LONGS))
+            short, under = under, materialize(under.join(materialize(fold, "parity-folded"), "class"), "parity-sketched", left)
             drop(short)
         salts *= 8
     if comps is None:
@@ -370,8 +389,14 @@ def self_join(docs: DataFrame) -> DataFrame:
 
     classes = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = classes.groupBy("comp").agg(F.min("first").alias("component_id"), F.sum("rows").alias("rows"))
-    least = materialize(least.filter("rows > 1"), "parity-least")
-    classes = materialize(classes.select("class", "comp").join(least, "comp").select("class", "component_id"), "parity-components")
+    least = materialize(least.filter("rows > 1").select("comp", "component_id"), "parity-least")
+    return sets, classes.select("class", "comp"), least
+
+
+def self_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class, component_id of every row."""
+    sets, classes, least = _joined(docs)
+    classes = materialize(classes.join(least, "comp").select("class", "component_id"), "parity-components")
     return sets.select("doc_id", "n_shingles", "class").join(classes, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -386,7 +411,31 @@ def _open(under: DataFrame, most_rows: int | None = None) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its least doc_id."""
-    joined = self_join(docs)
-    gone = materialize(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "parity-drop")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each component: of its least doc_id (nulls last) the text of least digest, once.
+
+    Rows are told apart by doc_id and text, so rows of one id may have different
+    fates; of rows alike in both one stays, whatever their other columns say.
+    Rows without words are components of their own and all stay.
+    """
+    sets, classes, _ = _joined(docs)
+    rows = sets.filter("n_shingles > 0").groupBy("class", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    rows = materialize(rows.join(classes, "class").select("comp", F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "digest").alias("key"), "rows"), "parity-rows")
+    best = materialize(rows.groupBy("comp").agg(F.min("key").alias("best"), F.count("*").alias("n")).filter("n > 1").select("comp", "best"), "parity-best")
+    gone = rows.join(best, "comp").filter("key <> best")
+    own_id, own_digest, whole = fresh(docs, "own_id", "own_digest", "whole")
+    gone = materialize(gone.select(F.col("key.doc_id").alias(own_id), F.col("key.digest").alias(own_digest)), "parity-drop")
+    again = rows.filter("rows > 1").join(best, "comp", "left").filter("best is null or key = best")
+    again = materialize(again.select(F.col("key.doc_id").alias(own_id), F.col("key.digest").alias(own_digest)), "parity-again")
+
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(own_id), F.unhex(F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias(own_digest))
+
+    def met(keys: DataFrame):
+        return keyed[own_id].eqNullSafe(keys[own_id]) & (keyed[own_digest] == keys[own_digest])
+
+    kept = keyed.join(gone, met(gone), "left_anti")
+    if not again.head(1):
+        return kept.select(docs.columns)
+    kept = kept.join(again, kept[own_id].eqNullSafe(again[own_id]) & (kept[own_digest] == again[own_digest]), "left_anti")
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = keyed.join(again, met(again), "left_semi").groupBy(own_id, own_digest).agg(F.min_by(every, F.to_json(every)).alias(whole))
+    return kept.select(docs.columns).union(once.select(*[F.col(whole)[c].alias(c) for c in docs.columns]))

@@ -205,10 +205,39 @@ def test_similar_sets_always_meet(size):
             assert parity_join.near(len(base), len(other), parity_join.sketch(base), parity_join.sketch(other))
 
 
-def test_one_document_of_each_group_stays(docs, rows):
-    kept = {r.doc_id for r in parity_join.representatives(docs).collect()}
-    comp = {r.doc_id: r.component_id for r in parity_join.self_join(docs).collect()}
-    assert kept - {None} == {i for i, c in comp.items() if i == c and i is not None}
+def plain_representatives(rows):
+    """Per component of rows with words: the least id, then the least digest, once; wordless rows all."""
+    n = len(rows)
+    sets = []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent[top(a)] = top(b)
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        if sets[k]:
+            groups.setdefault(top(k), []).append((i is None, i or 0, hashlib.sha1((t or "").encode()).digest(), i, t))
+    return Counter([min(g)[3:] for g in groups.values()] + [r for r, s in zip(rows, sets, strict=True) if not s])
+
+
+def test_one_row_of_each_group_stays(spark, docs, rows):
+    kept = parity_join.representatives(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == plain_representatives(rows)
+    texts = [f"{x} one two three four five six {x}" for x in "abcd"]
+    more = [(1, texts[0]), (1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[0]), (None, texts[0]), (None, texts[2]), (None, texts[2]), (9, texts[3].upper()), (9, texts[3]), (2, None), (2, None)]
+    some = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(more)], "doc_id long, text string, own_id int, whole string")
+    assert Counter((r.doc_id, r.text) for r in parity_join.representatives(some).collect()) == plain_representatives(more)
 
 
 # 4
