@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.llm import byte_cnn, debruijn, mcd_quality, mixing, parity_join, pii_crf, queries, token_planes, trigram_secrets, warc, winnow
 from kinfold.llm import wordhash as W
@@ -473,6 +474,105 @@ def test_outliers_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in mcd_quality.keep_clean(df).collect()) == [i for i in range(600) if kept[i]]
 
 
+def plain_estimate(x):
+    """Mean and scatter by the same definition, in plain numpy."""
+    x = np.array(x, float)
+    floor = np.diag([mcd_quality._floor(i) ** 2 for i in range(4)])
+    side = np.array([mcd_quality._floor(i) for i in range(4)])
+
+    def moments(rows, scale):
+        m = rows.mean(0)
+        return m, (rows.T @ rows / len(rows) - np.outer(m, m)) * scale + floor
+
+    def distance(m, v):
+        d = x - m
+        return np.einsum("ni,ij,nj->n", d, np.linalg.inv(v), d)
+
+    mid = np.median(x, 0)
+    away = np.median(np.abs(x - mid), 0) * 1.4826 + side
+    starts = [(mid, np.diag(away**2)), moments(x, 1.0)]
+    if (central := (np.abs(x - mid) <= 2 * away).all(1)).any():
+        starts.append(moments(x[central], 1.0))
+    half, inner = mcd_quality.chi2_quantile(mcd_quality.COVERAGE, 4), mcd_quality.chi2_quantile(0.975, 4)
+    ends = []
+    for k, (m, v) in enumerate(starts):
+        last = np.inf
+        while True:
+            level = np.floor(np.log2(1 + distance(m, v)) * 64 + 0.5)
+            cut = np.sort(level)[int(np.ceil(len(x) * mcd_quality.COVERAGE)) - 1]
+            m2, v2 = moments(x[level <= cut], mcd_quality.COVERAGE / mcd_quality.chi2_cdf(half, 6))
+            det = np.linalg.slogdet(v2)[1]
+            if last < np.inf and last - det <= mcd_quality.LEAST_FALL:
+                break
+            m, v, last = m2, v2, det
+        ends.append((last, k, m, v))
+    _, _, m, v = min(ends, key=lambda e: e[:2])
+    near = x[distance(m, v) <= inner]
+    return len(near), *moments(near, 0.975 / mcd_quality.chi2_cdf(inner, 6))
+
+
+def plain_verdicts(rows):
+    """{row number: squared distance} for rows (key, vector)."""
+    spread = np.diag([(v * mcd_quality.UNIT) ** 2 for v in mcd_quality.SPREAD.values()])
+
+    def drawn(n, own, wide):
+        return (own * n + wide * mcd_quality.SHRINK) / (n + mcd_quality.SHRINK)
+
+    n_all, m_all, v_all = plain_estimate([x for _, x in rows])
+    v_all = drawn(n_all, v_all, spread)
+    out = {}
+    for lang in {k[0] for k, _ in rows}:
+        n, m, v = plain_estimate([x for k, x in rows if k[0] == lang])
+        wide = drawn(n, m, m_all), drawn(n, v, v_all)
+        for key in {k for k, _ in rows if k[0] == lang}:
+            n, m, v = plain_estimate([x for k, x in rows if k == key])
+            m, v = drawn(n, m, wide[0]), np.linalg.inv(drawn(n, v, wide[1]))
+            for i, (k, x) in enumerate(rows):
+                if k == key:
+                    out[i] = (np.array(x) - m) @ v @ (np.array(x) - m)
+    return out
+
+
+def test_kept_against_plain_estimates(spark):
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+    rows = []
+    for i in range(420):
+        lang, source = ("en", "de", None)[int(rng.integers(3))], ("a", "b", "c", "rare", None)[min(int(rng.integers(24)) // 6, 4) if i % 20 else 3]
+        n = int(rng.integers(12, 90))
+        text = "\n".join(" ".join(rng.choice(vocab, 6)).capitalize() for _ in range(n // 6 + 1))
+        if i % 17 == 0:
+            text = " ".join(x + "##"[: int(rng.integers(3))] for x in text.split())
+        if i % 23 == 0:
+            text = text.upper()
+        rows.append((i, text, lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mcd_quality.judge(docs).collect()
+    passing = [r for r in got if not r.base_failed]
+    by_id = {r[0]: (r[2], r[3]) for r in rows}
+    want = plain_verdicts([(by_id[r.doc_id], [r[c] for c in mcd_quality._X]) for r in passing])
+    assert [r.distance2 for r in passing] == pytest.approx([want[i] for i in range(len(passing))], rel=1e-6)
+    cutoff = mcd_quality.chi2_quantile(1 - mcd_quality.ALPHA, 4)
+    assert [r.kept for r in passing] == [want[i] <= cutoff for i in range(len(passing))] and {r.kept for r in passing} == {True, False}
+
+
+def test_rows_are_judged_where_they_stand(spark, docs):
+    """Names that the operator uses, null keys and repeated rows; nothing but the rejected rows goes."""
+    rows = [(1, "one two three four five six seven eight nine ten eleven", None, "en"), (1, "one two three four five six seven eight nine ten eleven", "en", None), (2, "short", "en", "s"), (None, None, None, None)]
+    some = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, _bad long, whole int, key int")
+    assert sorted(map(tuple, mcd_quality.keep_clean(some).collect()), key=str) == sorted([(*r, 1, 2, 3) for r in rows[:2]], key=str)
+    kept = Counter(r.row for r in docs.withColumn("row", F.col("edge").cast("string")).transform(mcd_quality.keep_clean).collect())
+    assert max(kept.values()) == 1
+    judged = Counter((r.doc_id, r.n_words) for r in mcd_quality.judge(docs).filter("kept").collect())
+    assert judged == Counter((r.doc_id, len(words(r.text))) for r in mcd_quality.keep_clean(docs).collect())
+
+
+def test_small_groups_are_judged(spark):
+    texts = [f"alpha beta gamma delta word{i} six seven eight nine ten eleven twelve" for i in range(12)]
+    docs = spark.createDataFrame([(i, t if i else t.upper().replace(" ", "#### "), "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in mcd_quality.keep_clean(docs).collect()) == list(range(1, 12))
+
+
 def test_chi2():
     assert mcd_quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and mcd_quality.chi2_cdf(5.348, 6) == pytest.approx(0.5, abs=1e-3)
 
