@@ -161,6 +161,41 @@ def test_time_is_linear(text):
     assert time.perf_counter() - began < 3
 
 
+def _field(pull):
+    """A field whose nodes lean to none and whose skip edges pull towards equal labels."""
+    node = np.zeros((P.N_FEATURES, P.N_LABELS))
+    node[0, 0] = 1.0
+    return P.Weights(node, np.zeros((P.N_LABELS,) * 2), pull * np.eye(P.N_LABELS))
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_evidence_reaches_fifty_repeats(first):
+    one, many = "call +1 (564) 555-4526 now. ", " ".join(f"Then 564 555 4526, order 98{i:06d}." for i in range(50)) + " "
+    text = one + many if first else many + one
+    got = [(text[a:b], P.KINDS[k]) for a, k, b in P.added_spans(_field(3.0), text, P.base_spans(text), certain=0.7)]
+    assert got == [("564 555 4526", "phone")] * 50
+    assert P.added_spans(_field(3.0), many, P.base_spans(many), certain=0.7) == []
+
+
+def test_messages_pass_until_they_settle():
+    rng = np.random.default_rng(1)
+    k, n = P.N_LABELS, 60
+    w = P.Weights(np.zeros((P.N_FEATURES, k)), 6 * np.eye(k) + rng.normal(size=(k, k)) / 9, np.zeros((k, k)))
+    tokens = [P.Token(i * 20, i * 20 + 9, f"{10**8 + i * 7919}", "", "") for i in range(n)]
+    p = P.marginals(w, tokens, [4] + [0] * (n - 1))
+    f, m = np.exp(w.chain), np.eye(k)[4]
+    onward = np.ones(k)
+    after = [onward]
+    for _ in range(n - 1):
+        onward = f @ onward
+        after.append(onward := onward / onward.sum())
+    for i in range(n):
+        exact = m * after[n - 1 - i]
+        assert p[i] == pytest.approx(exact / exact.sum(), abs=1e-3)
+        m = m @ f
+        m /= m.sum()
+
+
 def test_no_sample_adds_nothing(spark):
     rows = [(i, t) for i, t in enumerate(["none here", None, "", "year 2019 and 564 555 4526"])]
     got = P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
