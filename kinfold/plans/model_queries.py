@@ -207,17 +207,6 @@ def mock_send(text: str) -> str:
     return json.dumps({"answers": answers, "usage": {"input_tokens": len(text)}})
 
 
-@query()
-def judge_refine(spark: SparkSession, sf: str) -> DataFrame:
-    """Deferred pairs go to the judge, the others keep their verdict."""
-    rows = policy.with_verdicts(_probabilities(spark, sf), _thresholds(spark)).select(F.col("p_partkey").alias("entry_a"), (F.col("p_partkey") + 1).alias("entry_b"), "verdict")
-    deferred = rows.filter("verdict = 'DEFER'").select("entry_a", "entry_b", F.lit("track").alias("entry_type"), F.to_json(F.struct("entry_a", "entry_b")).alias("request"))
-    cache = spark.createDataFrame([], "key string, request string, response string, created_at long")
-    answered, _ = judge.ask(deferred, cache, mock_send)
-    judged = answered.select("entry_a", "entry_b", judge.answer_verdict(F.col("response"), F.col("entry_type"))["verdict"].alias("judged"))
-    return policy.refined(rows, judged)
-
-
 @query("""
 WITH r AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'same_identity' WHEN 1 THEN 'derived' WHEN 2 THEN 'sibling' WHEN 3 THEN 'unsure' END AS choice, 0.90 + (turn % 12) / 100.0::DOUBLE AS conf FROM conversations)
 SELECT conv_id, turn, CASE WHEN choice IS NULL THEN NULL WHEN choice IN ('same_identity', 'derived') AND round(conf, 2) < 0.95 THEN 'DEFER' WHEN choice = 'same_identity' THEN 'MERGE' WHEN choice = 'derived' THEN 'RELATE' WHEN choice = 'sibling' THEN 'DISTINCT' ELSE 'DEFER' END AS verdict,
@@ -237,12 +226,12 @@ def judge_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS ({PAIRS_SQL}), d AS (SELECT DISTINCT l_partkey AS entry, l_orderkey AS original FROM lineitem WHERE l_linenumber <= 2),
+WITH p AS ({PAIRS_SQL}), d AS (SELECT DISTINCT l_partkey AS entry, l_orderkey AS original FROM lineitem),
 s AS (SELECT DISTINCT entry_a, entry_b FROM p JOIN d x ON x.entry = entry_a JOIN d y ON y.entry = entry_b AND y.original = x.original)
 SELECT p.entry_a, p.entry_b, CASE WHEN (p.entry_a + p.entry_b) % 2 = 0 THEN 'MERGE' WHEN s.entry_a IS NULL THEN 'RELATE' ELSE 'DISTINCT' END AS verdict FROM p LEFT JOIN s USING (entry_a, entry_b)
 """)
 def provider_siblings(spark: SparkSession, sf: str) -> DataFrame:
-    """RELATE is withdrawn where both derive from one original; the SQL takes the first two lines of an order only."""
+    """RELATE is withdrawn where both derive from one original."""
     pairs = candidate_pairs(spark, sf).withColumn("verdict", F.when((F.col("entry_a") + F.col("entry_b")) % 2 == 0, F.lit("MERGE")).otherwise(F.lit("RELATE")))
     derived = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entry"), F.col("l_orderkey").alias("original"))
     return policy.veto_siblings(pairs, derived)
@@ -259,20 +248,7 @@ def provider_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def held_out_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries that a held-out set does not touch."""
-    held = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(held, "c_custkey", "left_anti")
-
-
-@query()
-def relation_heads(spark: SparkSession, sf: str) -> DataFrame:
-    """Relation heads scored on RELATE rows alone, forward and mirrored."""
-    model = models.parse(TREES)
-    rows = policy.with_verdicts(_probabilities(spark, sf), _thresholds(spark)).join(_tree_inputs(spark, sf), "p_partkey")
-
-    def heads(df: DataFrame) -> DataFrame:
-        return models.antisymmetric_direction(df, model, ["p_gap"], "p_direction")
-
-    return models.relation_stage(rows, heads, ["p_direction"]).select("p_partkey", "verdict", F.round("p_direction", 9).alias("p_direction"))
-
-
+    """Entries that a held-out set does not touch, as pairs of an entry with itself."""
+    held = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("entry_id"))
+    pairs = table(spark, sf, "customer").select(F.col("c_custkey").alias("entry_a"), F.col("c_custkey").alias("entry_b"))
+    return labels.without_held_out(pairs, held).select(F.col("entry_a").alias("c_custkey"))

@@ -51,17 +51,15 @@ def trigram_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH f AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents),
-b AS (SELECT p_partkey % 20 AS k, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM part WHERE p_partkey < 20)
-SELECT doc_id, max(CASE WHEN len(f.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(f.t, b.t)) / len(list_distinct(list_concat(f.t, b.t))), 6) END) AS tok_max
-FROM f JOIN b ON b.k = doc_id % 20 GROUP BY doc_id
+WITH f AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS t FROM documents),
+b AS (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS u FROM part),
+w AS (SELECT u, unnest(u) AS w FROM b), x AS (SELECT doc_id, t, unnest(t) AS w FROM f),
+s AS (SELECT doc_id, t, u, count(*) AS n FROM (SELECT DISTINCT doc_id, t, w FROM x) x JOIN w USING (w) GROUP BY ALL)
+SELECT f.doc_id, coalesce(max(round(n / (len(s.t) + len(u) - n), 6)), 0.0::DOUBLE) AS tok_max FROM (SELECT DISTINCT doc_id FROM f) f LEFT JOIN s USING (doc_id) GROUP BY f.doc_id
 """)
 def token_jaccard_max(spark: SparkSession, sf: str) -> DataFrame:
-    """Best token similarity of each document's first line with any title; 0 where none shares a token.
-
-    The SQL compares with one of the first twenty titles only, so it may give less.
-    """
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.lower(F.element_at(F.split("text", "\n"), 1))).alias("t"))
+    """Best token similarity of each document with any title; 0 where none shares a token."""
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.lower("text")).alias("t"))
     titles = table(spark, sf, "part").select(F.array_sort(T.tokens(F.lower("p_name"))).alias("u")).distinct()
     words = titles.select("u", F.explode("u").alias("w"))
     if words.count() <= _BROADCAST_WORDS:
@@ -101,13 +99,13 @@ def _normed(parts: DataFrame) -> DataFrame:
 
 
 @query(rf"""
-WITH t AS (SELECT p_partkey, p_name, p_brand, lower({title_sql()}) AS t FROM part WHERE p_partkey % 12 <> 11),
+WITH t AS (SELECT p_partkey, p_name, p_brand, lower(replace({title_sql()}, 'ＦＵＬＬ', 'full')) AS t FROM part),
 m AS (SELECT p_partkey, p_name, p_brand, {', '.join(f"regexp_matches(t, '{p}') AS m_{k}" for k, p in _MARKS.items())} FROM t)
 SELECT a.p_partkey AS entry_a, b.p_partkey AS entry_b, {', '.join(f"(a.m_{k} <> b.m_{k})::INT::DOUBLE AS m_xor_{k}, (a.m_{k} AND b.m_{k})::INT::DOUBLE AS m_both_{k}" for k in _MARKS)}
 FROM m a JOIN m b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 """)
 def marker_pair_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Markers of both sides of every pair; the SQL leaves every twelfth part out."""
+    """Markers of both sides of every pair."""
     parts = _normed(table(spark, sf, "part")).select("p_partkey", "p_name", "p_brand", T.markers(F.col("t")).alias("m"))
     a = parts.select(F.col("p_partkey").alias("entry_a"), "p_name", "p_brand", F.col("m").alias("ma"))
     b = parts.select(F.col("p_partkey").alias("entry_b"), "p_name", "p_brand", F.col("m").alias("mb"))
@@ -121,15 +119,15 @@ def marker_pair_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""
 SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '([\p{{L}}\p{{N}}_]+)\s*ver(?:sion|\.)?', 1))), '|') AS versions
-FROM (SELECT p_partkey, lower({title_sql()}) AS t FROM part WHERE p_partkey % 12 <> 11)
+FROM (SELECT p_partkey, lower(replace({title_sql()}, 'ＦＵＬＬ', 'full')) AS t FROM part)
 """)
 def named_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Named versions of every title; the SQL leaves every twelfth part out."""
+    """Named versions of every title."""
     return _normed(table(spark, sf, "part")).select("p_partkey", F.array_join(F.array_sort(T.named_versions(F.col("t"))), "|").alias("versions"))
 
 
 @query(rf"""
-WITH t AS (SELECT p_partkey, lower({title_sql()}) AS t FROM part WHERE p_partkey % 12 <> 11),
+WITH t AS (SELECT p_partkey, lower(replace({title_sql()}, 'ＦＵＬＬ', 'full')) AS t FROM part),
 b AS (SELECT p_partkey, t, regexp_replace(t, '[\(\[][^\)\]]*[\)\]]', ' ', 'g') AS b FROM t),
 s AS (SELECT p_partkey, t, CASE WHEN trim(b) <> '' THEN b ELSE t END AS b FROM b)
 SELECT p_partkey, trim(regexp_replace(CASE WHEN trim(regexp_replace(b, '\s*/\s*[^/]*$', '')) <> '' THEN regexp_replace(b, '\s*/\s*[^/]*$', '') ELSE b END, '\s+', ' ', 'g')) AS stripped,
@@ -137,16 +135,44 @@ SELECT p_partkey, trim(regexp_replace(CASE WHEN trim(regexp_replace(b, '\s*/\s*[
 FROM s
 """)
 def bracket_title(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles without brackets and tails, and what stood in the brackets; the SQL leaves every twelfth part out."""
+    """Titles without brackets and tails, and what stood in the brackets."""
     rows = _normed(table(spark, sf, "part")).select("p_partkey", "t")
     rows = rows.withColumn("b", T._unless_empty(F.regexp_replace("t", T.BRACKETS, " "), F.col("t")))
     tail = F.regexp_replace("b", T.java(T.SLASH_TAIL), "")
     return rows.select("p_partkey", T.collapse(T._unless_empty(tail, F.col("b"))).alias("stripped"), F.array_join(F.array_sort(T.bracket_contents(F.col("t"))), "|").alias("brackets"))
 
 
-@query()
+def _core_sql() -> str:
+    """Core titles and artist cores of ASCII names, where \\b needs no lookbehind; one step a column."""
+    def trim(x: str) -> str:
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    steps = ["SELECT *, regexp_replace(norm, 'hololive', '', 'g') AS t0 FROM n"]
+    for k, (pattern, new) in enumerate(((r"[\(\[<][^\)\]>]*[\)\]>]", " "), (r"\s*[/|]\s*[^/|]*$", "")), 1):
+        cut = f"regexp_replace(t{k - 1}, '{pattern}', '{new}', 'g')"
+        steps.append(f"SELECT *, CASE WHEN {trim(cut)} <> '' THEN {cut} ELSE t{k - 1} END AS t{k} FROM s{k - 1}")
+    for k, p in enumerate(T.MARKERS.values(), 3):
+        steps.append(f"SELECT *, regexp_replace(t{k - 1}, '{p}', ' ', 'g') AS t{k} FROM s{k - 1}")
+    last = len(steps) - 1
+    names = ["norm AS a0"]
+    ctes = ", ".join(f"s{k} AS ({q})" for k, q in enumerate(steps))
+    wraps = [f"SELECT *, {names[0]} FROM s{last}"]
+    for k, p in enumerate(T.ARTIST_STRIP, 1):
+        cut = trim(f"regexp_replace(a{k - 1}, '{p}', '', 'g')")
+        wraps.append(f"SELECT *, CASE WHEN {cut} <> '' THEN {cut} ELSE a{k - 1} END AS a{k} FROM w{k - 1}")
+    ctes += ", " + ", ".join(f"w{k} AS ({q})" for k, q in enumerate(wraps))
+    end = len(wraps) - 1
+    marks = ", ".join(f"CASE WHEN regexp_matches(t0, '{p}') THEN '{k}' END" for k, p in T.MARKERS.items())
+    return f"""
+WITH n AS (SELECT DISTINCT {title_sql()} AS name, trim(regexp_replace(lower(replace({title_sql()}, 'ＦＵＬＬ', 'full')), '\\s+', ' ', 'g')) AS norm FROM part), {ctes}
+SELECT name, norm, regexp_replace(regexp_replace(t{last}, '\\s+', ' ', 'g'), '^[ _~-]+|[ _~-]+$', '', 'g') AS core, regexp_replace(a{end}, '[\\s._-]+', '', 'g') AS artist_core,
+  array_to_string(list_filter([{marks}], lambda x: x IS NOT NULL), '|') AS markers, regexp_matches(norm, '^\\[?(private video|deleted video|untitled|unknown)\\]?$') AS placeholder,
+  regexp_matches(a{end}, '^(release|various artists|v\\.?a\\.?|unknown artist|anonymous|traditional)$') AS generic, false AS cjk FROM w{end}"""
+
+
+@query(_core_sql())
 def core_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Core titles and artist cores; their patterns look behind, which the SQL engine's do not."""
+    """Core titles and artist cores of the distinct titles."""
     from ..operators.names import name_table
 
     names = name_table(table(spark, sf, "part").select(title().alias("name")))

@@ -3,10 +3,8 @@
 import re
 import unicodedata
 
-import numpy as np
 import pytest
 
-from kinfold.llm import pii_crf
 from kinfold.plans import catalog
 from kinfold.plans.text_queries import _MARKS
 from kinfold.sources.star import SUFFIXES
@@ -32,11 +30,11 @@ def test_best_title_of_all(spark, tmp_path, monkeypatch, most):
     folder = _write(spark, tmp_path / "t", part=(list(names.items()), "p_partkey long, p_name string"), documents=(texts, "doc_id long, text string"))
     want = {}
     for i, t in texts:
-        d = _tokens((t or "").split("\n")[0])
+        d = _tokens(t or "")
         want[i] = max([want.get(i, 0.0)] + [round(len(d & u) / len(d | u), 6) for u in map(_tokens, names.values()) if d])
     got = [tuple(r) for r in catalog.QUERIES["token_jaccard_max"](spark, folder).select("doc_id", "tok_max").collect()]
     assert len(got) == len(want) and dict(got) == want
-    assert want[1] == want[None] == 1.0 and want[0] == 0.75 and want[2] == 0.0
+    assert want[1] == want[6] == want[None] == 1.0 and want[0] == 0.5 and want[2] == 0.0
 
 
 PARTS = [(i, name, "b") for i, name in enumerate(["blue bolt", "live ring"] * 12)] + [(35, "red", "b"), (47, "red", "b"), (24, None, "b")]
@@ -75,41 +73,6 @@ def test_all_parts_are_in_marker_pairs(spark, tmp_path):
     assert want[35, 47]["full"] == (0.0, 1.0)
 
 
-def _field(pull):
-    """A field whose nodes lean to none and whose skip edges pull towards equal labels."""
-    node = np.zeros((pii_crf.N_FEATURES, pii_crf.N_LABELS))
-    node[0, 0] = 1.0
-    return pii_crf.Weights(node, np.zeros((pii_crf.N_LABELS,) * 2), pull * np.eye(pii_crf.N_LABELS))
-
-
-@pytest.mark.parametrize("first", [True, False])
-def test_evidence_reaches_fifty_repeats(first):
-    one, many = "call +1 (564) 555-4526 now. ", " ".join(f"Then 564 555 4526, order 98{i:06d}." for i in range(50)) + " "
-    text = one + many if first else many + one
-    got = [(text[a:b], pii_crf.KINDS[k]) for a, k, b in pii_crf.added_spans(_field(3.0), text, pii_crf.base_spans(text))]
-    assert got == [("564 555 4526", "phone")] * 50
-    assert pii_crf.added_spans(_field(3.0), many, pii_crf.base_spans(many)) == []
-
-
-def test_messages_pass_until_they_settle():
-    rng = np.random.default_rng(1)
-    k, n = pii_crf.N_LABELS, 60
-    w = pii_crf.Weights(np.zeros((pii_crf.N_FEATURES, k)), 6 * np.eye(k) + rng.normal(size=(k, k)) / 9, np.zeros((k, k)))
-    tokens = [pii_crf.Token(i * 20, i * 20 + 9, f"{10**8 + i * 7919}", "") for i in range(n)]
-    p = pii_crf.marginals(w, tokens, [4] + [0] * (n - 1))
-    f, m = np.exp(w.chain), np.eye(k)[4]
-    onward = np.ones(k)
-    after = [onward]
-    for _ in range(n - 1):
-        onward = f @ onward
-        after.append(onward := onward / onward.sum())
-    for i in range(n):
-        exact = m * after[n - 1 - i]
-        assert p[i] == pytest.approx(exact / exact.sum(), abs=1e-3)
-        m = m @ f
-        m /= m.sum()
-
-
 def test_siblings_by_any_line(spark, tmp_path):
     parts = [(i, "blue bolt", "b") for i in range(1, 7)]
     lines = [(10, 1, 1), (10, 2, 5), (10, 3, 4), (11, 3, 2), (11, 7, 3), (12, 1, 6)]
