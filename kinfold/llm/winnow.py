@@ -7,18 +7,22 @@ gram from it.  Where a document's fingerprint is one of the items', the hit is
 extended to the whole window and compared by the window's hash.  Items of fewer
 words are one window each and are looked up by their own length.
 
-The items are read in blocks of at most ``block_bytes`` of text; only one
-block's index is broadcast at a time, however large the benchmark is.  The
-documents are never shuffled with their text when one block is enough, which is
-the usual case; with more, each block makes a pass and hits meet by document.
+The items are read in blocks of about ``block_bytes`` of text.  One block, which
+is the usual case, is one pass over the documents.  With more, each block makes a
+pass of its own: its index is built when the pass begins, and goes when what the
+pass found is written, so only one is broadcast at a time however large the
+benchmark is.  Documents are never shuffled with their text; hits of several
+passes meet by document.
 
 Cases: null or wordless texts have no words and no hits; wordless items never
 occur; a repeated item id counts once; a null item id counts as the empty id;
-repeated documents are judged row by row; extra columns are ignored.
+repeated documents are judged row by row; very long texts are read whole, a
+block of words at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .storage import drop, materialize
 
 WINDOW = 10
 GRAM = 4
@@ -141,50 +146,75 @@ def _scan(batches, index):
         )
 
 
-def _indexes(benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> list:
-    """Broadcast indexes of the items, one for each block of about ``block_bytes``."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items in blocks of about ``block_bytes`` of text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    out = []
-    for block in range(n):
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], window, gram)))
-    return out
+    return [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) for block in range(n)]
+
+
+def _broadcast(items: DataFrame, window: int, gram: int):
+    return items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], window, gram))  # one block
+
+
+@contextlib.contextmanager
+def _index(items: DataFrame, window: int, gram: int):
+    """A block's broadcast index, for as long as its pass takes."""
+    index = _broadcast(items, window, gram)
+    try:
+        yield index
+    finally:
+        index.destroy()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that any item occurs in; a pass for each block of items, nothing is shuffled."""
-    for index in _indexes(benchmark, window, gram, block_bytes):
-        docs = docs.mapInArrow(lambda batches, index=index: _clean(batches, index), docs.schema)
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        index = _broadcast(blocks[0], window, gram)
+        return docs.mapInArrow(lambda batches: _clean(batches, index), docs.schema)
+    was = None
+    for items in blocks:
+        with _index(items, window, gram) as index:
+            docs = materialize(docs.mapInArrow(lambda batches, index=index: _clean(batches, index), docs.schema), "winnow-clean")
+        if was is not None:
+            drop(was)
+        was = docs
     return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: its words, the word spans that occur in items (hit_starts, hit_ends) and those items."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    parts = [rows.mapInArrow(lambda batches, index=index: _scan(batches, index), SCHEMA) for index in _indexes(benchmark, window, gram, block_bytes)]
-    n = len(parts)
-    if n == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id", "row_key").agg(
-        F.max("n_words").alias("n_words"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        index = _broadcast(blocks[0], window, gram)
+        return rows.mapInArrow(lambda batches: _scan(batches, index), SCHEMA)
+    every, found = None, None
+    for items in blocks:
+        with _index(items, window, gram) as index:
+            part = rows.mapInArrow(lambda batches, index=index: _scan(batches, index), SCHEMA)
+            # The first pass tells every row's words, the others only what they find.
+            part = materialize(part if every is None else part.filter("size(hit_starts) > 0").distinct(), "winnow-hits")
+        every = part.select("doc_id", "row_key", "n_words") if every is None else every
+        hits = part.filter("size(hit_starts) > 0").distinct().drop("n_words")
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy("doc_id", "row_key").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends")))).alias("s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / n).cast("int").alias("copies"),
     )
     # Spans in order of start: a span begins anew where it passes the furthest end so far.
     merged = merged.selectExpr(
-        "doc_id", "row_key", "n_words", "items", "copies",
+        "doc_id as id", "row_key as row", "items",
         """aggregate(s, cast(array() as array<struct<hit_starts:bigint,hit_ends:bigint>>), (a, x) ->
              if(size(a) > 0 and x.hit_starts <= element_at(a, -1).hit_ends,
                 concat(slice(a, 1, size(a) - 1), array(named_struct('hit_starts', element_at(a, -1).hit_starts, 'hit_ends', greatest(element_at(a, -1).hit_ends, x.hit_ends)))),
                 concat(a, array(x)))) as s""",
     )
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "row_key", "n_words", F.col("s.hit_starts").alias("hit_starts"), F.col("s.hit_ends").alias("hit_ends"), "items")
+    out = every.join(merged, every["doc_id"].eqNullSafe(merged["id"]) & (every["row_key"] == merged["row"]), "left")
+    none = F.array().cast("array<bigint>")
+    return out.select("doc_id", "row_key", "n_words", F.coalesce("s.hit_starts", none).alias("hit_starts"), F.coalesce("s.hit_ends", none).alias("hit_ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def report(hits: DataFrame) -> DataFrame:

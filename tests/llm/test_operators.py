@@ -1,5 +1,6 @@
 """Each operator against a plain version, over awkward documents."""
 
+import contextlib
 import hashlib
 import io
 import re
@@ -269,6 +270,24 @@ def test_secrets(spark, docs, rows):
     assert got == want
 
 
+MORE_SECRETS = [
+    "x gho_" + "aB1" * 13 + " y", "AIza" + "b_-" * 12 + "c", "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9 + " eyJab.eyJcd.ef", "é -----BEGIN RSA PRIVATE KEY----- -----BEGIN PRIVATE KEY-----", "xoxb-1234567890 xoxz-1234567890 XOXB-1234567890", "gh_ AIz eyJ xox password",
+]
+
+
+def test_all_spans_against_plain_search(spark, docs, rows):
+    """Every rule's expression run over every text, without an index."""
+    rules = trigram_secrets.BASE_RULES + trigram_secrets.MORE_RULES
+    more = [(1000 + i, t) for i, t in enumerate([*SECRETS, *MORE_SECRETS, *SECRETS[:1], "\n".join(SECRETS + MORE_SECRETS) * 30])]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(more + more[:2], "doc_id long, text string"))
+    want = Counter()
+    for i, t in [*rows, *more, *more[:2]]:
+        spans = sorted((m.start(), n, m.end()) for n, r in enumerate(rules) for m in re.finditer(r.pattern, t or "") if len(m.group(r.group)) >= r.least)
+        want[i, ",".join(f"{rules[n].kind}:{a}:{b}" for a, n, b in spans)] += 1
+    got = Counter((r.doc_id, r.spans) for r in trigram_secrets.report(trigram_secrets.scan(every)).collect())
+    assert got == want and sum("jwt" in s for _, s in want) and sum("pem" in s for _, s in want)
+
+
 def test_trigram_queries_are_sound():
     samples = {"assign": "API_KEY = abcdefg", "github": "gho_" + "a" * 36, "google": "AIza" + "b" * 35, "jwt": "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "pem": "-----BEGIN RSA PRIVATE KEY-----", "slack": "xoxb-1234567890", "access": "AKIA" + "Q" * 16}
     for rule in trigram_secrets.BASE_RULES + trigram_secrets.MORE_RULES:
@@ -359,6 +378,50 @@ def test_cnn(spark, docs, rows):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def plain_score(net, text):
+    """One text, loops only."""
+    hop = byte_cnn.CHUNK - byte_cnn.OVERLAP
+    hidden, at = [], 0
+    while True:
+        part = [*text[at : at + byte_cnn.CHUNK]]
+        codes = part + [256] * (byte_cnn.CHUNK - len(part))
+        best = np.full(byte_cnn.FILTERS, -np.inf)
+        for k in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+            seen = np.concatenate([net["embed"][c] for c in codes[k : k + byte_cnn.WIDTH]])
+            best = np.maximum(best, seen @ net["filters"])
+        pooled = np.append(best + net["filter_bias"], len(part) / byte_cnn.CHUNK)
+        hidden.append(np.maximum(pooled @ net["hidden"] + net["hidden_bias"], 0))
+        at += hop
+        if at + byte_cnn.OVERLAP >= len(text):
+            break
+    both = np.concatenate([np.mean(hidden, 0), np.max(hidden, 0)])
+    return 1 / (1 + np.exp(-(both @ net["out"] + net["out_bias"][0])))
+
+
+def test_cnn_against_plain_loops():
+    rng = np.random.default_rng(4)
+    net = byte_cnn._start(rng)
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 63, 64, 1023, 1024, 1025, 1984, 1985, 5000, 200_000)]
+    at = np.cumsum([0, *map(len, texts)])
+    assert byte_cnn.score(net, at, np.frombuffer(b"".join(texts), np.uint8)) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
+def test_cnn_sample_spans_long_texts():
+    text = np.arange(1_000_000, dtype=np.uint32).astype(np.uint8).tobytes()
+    assert byte_cnn.sample_chunks(text, 10).shape == (10, byte_cnn.CHUNK) and len(byte_cnn.sample_chunks(text, 10**6)) == len(byte_cnn.Chunks(np.array([0, len(text)]), np.frombuffer(text, np.uint8)))
+
+
+def test_cnn_memory_of_a_long_text():
+    import tracemalloc
+
+    net, data = byte_cnn._start(np.random.default_rng(0)), np.zeros(20_000_000, np.uint8)
+    tracemalloc.start()
+    byte_cnn.score(net, np.array([0, len(data)]), data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+
+
 def test_cnn_gradients():
     rng = np.random.default_rng(2)
     net = {k: v.astype(np.float64) for k, v in byte_cnn._start(rng).items()}
@@ -433,6 +496,26 @@ def test_contamination(spark, docs, rows):
         assert Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k in clean.elements())
 
 
+def test_one_index_at_a_time(spark, docs, monkeypatch):
+    live, most, made = set(), [0], [0]
+    inner = winnow._index
+
+    @contextlib.contextmanager
+    def counted(*args):
+        with inner(*args) as index:
+            live.add(id(index))
+            made[0] += 1
+            most[0] = max(most[0], len(live))
+            yield index
+        live.discard(id(index))
+
+    monkeypatch.setattr(winnow, "_index", counted)
+    bench = spark.createDataFrame([(str(i), f"item{i} " * 12) for i in range(20)], "item_id string, text string")
+    assert winnow.decontaminate(docs, bench, block_bytes=300).count() == docs.count()
+    assert winnow.drop_contaminated(docs, bench, block_bytes=300).count() == docs.count()
+    assert most[0] == 1 and made[0] > 4 and not live
+
+
 # 9
 
 
