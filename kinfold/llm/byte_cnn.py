@@ -7,15 +7,17 @@ filter's greatest response is kept; a small hidden layer follows.  Over a
 document's chunks the hidden values are combined by mean and by maximum, and a
 logistic unit makes one probability of both.
 
-It is fitted on at most ``TRAIN_ROWS`` labelled rows of at most
-``TRAIN_BYTES`` bytes each, those of least hash: a documented bound, the same at
-every size of the corpus.  Scoring covers every byte of every text; the fitted
-network is a few kilobytes and is broadcast.
+It is fitted on at most ``TRAIN_ROWS`` labelled rows, those of least hash, and on
+at most ``TRAIN_CHUNKS`` chunks of each, evenly spread over the text: a documented
+bound, the same at every size of the corpus; the executors cut the texts.  Scoring
+covers every byte of every text, a group of chunks at a time; the fitted network
+is a few kilobytes and is broadcast.
 
 Cases: null and empty texts are one chunk of padding and get its score; labels
 without a text, unlabelled texts and repeated rows are fine, each row is scored
-alone; with fewer than two classes in the labels the score is their mean; extra
-columns are ignored.
+alone; very long texts take memory for one group of chunks besides the text; with
+fewer than two classes in the labels the score is their mean; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,24 +32,40 @@ from . import wordhash as W
 CHUNK, OVERLAP = 1024, 64
 WIDTH, STRIDE = 8, 4
 DIM, FILTERS, HIDDEN = 8, 32, 16
-TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 18
+TRAIN_ROWS, TRAIN_CHUNKS = 3000, 256
+#: Chunks that pass through the network together.
+GROUP = 128
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 3e-3, 1e-4
 SEED = 7
 _PAD = 256
 _STEP = CHUNK // STRIDE
 
 
+class Chunks:
+    """The chunks of a block's documents, cut when they are asked for."""
+
+    def __init__(self, at: np.ndarray, data: np.ndarray):
+        self.at, self.data, self.size = at, data, np.diff(at)
+        self.count = np.maximum(1, -(-(self.size - OVERLAP) // (CHUNK - OVERLAP)))
+        self.first = np.cumsum(self.count) - self.count
+
+    def __len__(self) -> int:
+        return int(self.count.sum())
+
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        """(chunks, CHUNK) byte codes, padded."""
+        of = np.searchsorted(self.first, numbers, "right") - 1
+        place = ((numbers - self.first[of]) * (CHUNK - OVERLAP))[:, None] + np.arange(CHUNK)
+        inside = place < self.size[of][:, None]
+        out = np.full(place.shape, _PAD, np.int16)
+        out[inside] = self.data[(place + self.at[of][:, None])[inside]]
+        return out
+
+
 def chunks(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks, CHUNK) byte codes, padded, and the number of chunks of each document."""
-    hop, size = CHUNK - OVERLAP, np.diff(at)
-    count = np.maximum(1, -(-(size - OVERLAP) // hop))
-    of = np.repeat(np.arange(len(size)), count)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    place = number[:, None] * hop + np.arange(CHUNK)
-    inside = place < size[of][:, None]
-    codes = np.full(place.shape, _PAD, np.int16)
-    codes[inside] = data[(place + at[of][:, None])[inside]]
-    return codes, count
+    """All chunks of a block and the number of chunks of each document."""
+    cut = Chunks(at, data)
+    return cut.codes(np.arange(len(cut))), cut.count
 
 
 def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -93,9 +111,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def score(net: dict, at: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Probabilities of a block's documents; chunks pass through in bounded groups."""
-    codes, count = chunks(at, data)
-    pooled = np.concatenate([_pooled(net, codes[i : i + 128]) for i in range(0, len(codes), 128)])
-    return sigmoid(_combine(net, pooled, count)[2].astype(np.float64))
+    cut = Chunks(at, data)
+    pooled = np.concatenate([_pooled(net, cut.codes(np.arange(i, min(i + GROUP, len(cut))))) for i in range(0, len(cut), GROUP)])
+    return sigmoid(_combine(net, pooled, cut.count)[2].astype(np.float64))
 
 
 def _gradients(net: dict, codes: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -128,8 +146,15 @@ def _gradients(net: dict, codes: np.ndarray, count: np.ndarray, y: np.ndarray) -
     }
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """A network fitted with Adam."""
+def sample_chunks(text: bytes, most: int = TRAIN_CHUNKS) -> np.ndarray:
+    """A text's chunks, or as many as ``most`` of them at even distances."""
+    cut = Chunks(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
+    n = len(cut)
+    return cut.codes(np.arange(n) if n <= most else np.arange(most) * n // most)
+
+
+def fit(texts: list[bytes | np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """A network fitted with Adam on texts or their chunks."""
     rng = np.random.default_rng(seed)
     net = _start(rng)
     y = np.array(labels, np.float32)
@@ -139,10 +164,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
         net["out_bias"][:] = np.log(rate / (1 - rate))
         return net
     net["out_bias"][:] = np.log(y.mean() / (1 - y.mean()))
-    cut = []
-    for t in texts:
-        data = np.frombuffer(t, np.uint8)
-        cut.append(chunks(np.array([0, len(data)]), data)[0])
+    cut = [t if isinstance(t, np.ndarray) else sample_chunks(t) for t in texts]
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
     step, steps = 0, epochs * -(-len(texts) // BATCH)
@@ -165,13 +187,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
+def _sampled(batches, most):
+    for batch in batches:
+        cut = [sample_chunks(t.as_py(), most).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("quality"), pa.array(cut, pa.binary())], names=["h", "quality", "chunks"])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_chunks: int = TRAIN_CHUNKS) -> dict[str, np.ndarray]:
     """Fit on the bounded sample; only rows that are not held out are read for it."""
     ids = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     ids = ids.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).filter(F.octet_length("text") <= most_bytes)
-    sample = texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(rows).collect()  # at most `rows` of each
-    return fit([bytes(r["text"]) for r in sample], [r["quality"] for r in sample])
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text")
+    cut = texts.mapInArrow(lambda batches: _sampled(batches, most_chunks), "h bigint, quality int, chunks binary")
+    sample = cut.orderBy("h", "chunks").limit(rows).collect()  # at most `rows` of at most `most_chunks` chunks
+    return fit([np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK) for r in sample], [r["quality"] for r in sample])
 
 
 def _score(batches, net):
