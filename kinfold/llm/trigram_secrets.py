@@ -3,18 +3,22 @@
 Each rule's regular expression is turned into a Boolean query over lower-case
 trigrams that every match must contain: runs of the expression whose possible
 strings are few are spelled out, each string needs all its trigrams, choices are
-joined by OR and consecutive runs by AND.  The index holds, for the trigrams
-that any rule asks for, postings of document keys in blocks of about
-``BLOCK_ROWS`` documents.  A block's postings are intersected and united as the
-query says, which leaves candidates; their texts are verified with the regular
+joined by OR and consecutive runs by AND.  One pass over each text, with an
+expression that looks ahead from every place, lists which of the trigrams that any
+rule asks for it holds; the index has their postings of document keys in blocks of
+about ``BLOCK_ROWS`` documents.  A block's postings are intersected and united as
+the query says, which leaves candidates; their texts are verified with the regular
 expression itself.  Rules without a mandatory trigram scan every text.
 
 Blocks bound every posting list, and documents fall in blocks by a hash, so
-neither a common trigram nor a hot source gathers in one task.
+neither a common trigram nor a hot source gathers in one task.  Only texts of
+candidates meet a join; all others' spans stay where they are found.  Candidates
+are named by 64-bit keys, which can only add some to verify; what is verified is
+joined back by 128 bits.
 
 Cases: a null text is empty; empty texts have no spans; rows that repeat in full
 are each returned (their key is one, their postings are united); offsets count
-code points; extra columns are ignored.
+code points; very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,14 +141,25 @@ def trigram_query(pattern: str) -> Query:
     return _read(parser.parse(pattern))[1]
 
 
+def _any_of(grams: list[str]) -> str:
+    """An expression that finds, from every place, the trigram that begins there: a choice of first characters, then of the rest."""
+    def quoted(s: str) -> str:
+        return "".join(c if c.isalnum() else "\\" + c for c in s)
+
+    first: dict[str, list[str]] = {}
+    for g in grams:
+        first.setdefault(g[0], []).append(g[1:])
+    return "(?=(" + "|".join(f"{quoted(c)}(?:{'|'.join(map(quoted, rest))})" for c, rest in first.items()) + "))"
+
+
 def _candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(row_key, rules): indices of the rules whose query the row's trigrams satisfy."""
     queries = {i: q for i, r in enumerate(rules) if frozenset() not in (q := trigram_query(r.pattern))}
     grams = sorted({t for q in queries.values() for a in q for t in a})
     blocks = -(-rows.count() // BLOCK_ROWS) or 1
-    low = rows.select("row_key", F.lower("text").alias("low"))
-    shown = low.select("row_key", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(n)) for n, t in enumerate(grams)])).alias("grams"))
-    postings = shown.select(F.pmod("row_key", F.lit(blocks)).alias("block"), "row_key", F.explode("grams").alias("gram"))
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(grams)), F.lit(1)))
+    numbers = F.create_map(*[F.lit(x) for n, t in enumerate(grams) for x in (t, n)])
+    postings = rows.select("row_key", F.explode(held).alias("t")).select(F.pmod("row_key", F.lit(blocks)).alias("block"), "row_key", numbers[F.col("t")].alias("gram"))
     postings = postings.repartition("block").groupBy("block", "gram").agg(F.collect_set("row_key").alias("rows"))
     index = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "rows"))).alias("of"))
     place = {t: n for n, t in enumerate(grams)}
@@ -194,17 +209,18 @@ def _matches(rule: Rule) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """doc_id and one column of spans, array<struct<start, end>>, for each rule's kind."""
-    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64(text, F.lit(1), "doc_id").alias("row_check"), text.alias("text"))
     candidates = _candidates(rows, rules)
-    joined = rows.join(candidates, "row_key", "left")
+    asked = [r for r in rules if frozenset() not in trigram_query(r.pattern)]
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    columns = []
-    for i, rule in enumerate(rules):
-        spans = _matches(rule)
-        if frozenset() not in trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("rules", i), spans).otherwise(empty)
-        columns.append(spans.alias(rule.kind))
-    return joined.select("doc_id", *columns)
+    # The few candidates, each once; their texts alone meet the join.
+    met = rows.join(candidates, "row_key")
+    verified = met.select("row_key", "row_check", *[F.when(F.array_contains("rules", rules.index(r)), _matches(r)).otherwise(empty).alias(r.kind) for r in asked])
+    verified = materialize(verified.filter(" or ".join(f"size({r.kind}) > 0" for r in asked) or "false").dropDuplicates(["row_key", "row_check"]), "secret-verified")
+    everywhere = rows.select("doc_id", "row_key", "row_check", *[_matches(r).alias(r.kind) for r in rules if r not in asked])
+    out = everywhere.join(verified, ["row_key", "row_check"], "left")
+    return out.select("doc_id", *[F.coalesce(r.kind, empty).alias(r.kind) for r in rules])
 
 
 def _listed(rules: tuple[Rule, ...]) -> Column:
