@@ -325,6 +325,49 @@ def test_repeats(docs, rows):
     assert Counter(map(tuple, debruijn.remove_repeats(docs).collect())) == plain_repeats(rows, 20)
 
 
+@pytest.mark.parametrize("bits", [3, 9, 14])
+def test_repeats_where_hashes_collide(spark, docs, rows, bits, monkeypatch):
+    """Nodes and edges of few bits: paths whose words differ are not believed."""
+    believed = []
+    inner = debruijn._removed
+
+    def watched(*args):
+        out = inner(*args)
+        believed.append((args[-1], out is not None))
+        return out
+
+    monkeypatch.setattr(debruijn, "_removed", watched)
+    assert Counter(map(tuple, debruijn.remove_repeats(docs, bits=bits).collect())) == plain_repeats(rows, 20)
+    assert believed[-1][1]
+
+
+def test_repeats_of_edited_copies(spark):
+    """Near copies, shifted passages, periodic texts, ids at the end of their range."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [str(x) for x in rng.choice(vocab, 700)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 9))):
+            at = int(rng.integers(len(w)))
+            w[at : at + int(rng.integers(0, 3))] = [f"edit{i}"] * int(rng.integers(0, 3))
+        rows.append((i, " ".join(w)))
+    for i in range(30, 50):
+        a = int(rng.integers(0, 600))
+        rows.append((i, " ".join([*rng.choice(vocab, int(rng.integers(0, 60))), *base[a : a + int(rng.integers(18, 100))], *rng.choice(vocab, int(rng.integers(0, 60)))])))
+    rows += [(50, "a b " * 60), (51, "a b " * 45 + "c " * 60), (52, "b a " * 30), ((1 << 63) - 1, rows[40][1] + " tail"), (None, rows[41][1] + " end"), (None, rows[41][1] + " other end"), (None, None), (53, "x " * 19)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, debruijn.remove_repeats(some).collect()))
+    assert got == plain_repeats([(i, t) for i, t in rows if i != (1 << 63) - 1], 20) + plain_repeats(rows, 20) - plain_repeats([(i, t) for i, t in rows if i != (1 << 63) - 1], 20)
+
+
+def test_compaction_by_hand(spark):
+    # Nodes 1-2-3-4 in a row, 7 alone, 8 and 9 with an edge that seems to join them to two others.
+    rows = [(1, 100, 12), (2, 12, 23), (3, 23, 34), (4, 34, 400), (7, 700, 701), (8, 800, 89), (9, 89, 900), (10, 89, 1000)]
+    got = {r.node: (r.head, r["at"]) for r in debruijn.compact(spark.createDataFrame(rows, "node long, into long, out long")).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 7: (7, 0), 8: (8, 0), 9: (9, 0), 10: (10, 0)}
+
 # 6
 
 
