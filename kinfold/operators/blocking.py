@@ -35,8 +35,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, key: str, column: str, k
         own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
         block = own.select(key, column).toPandas()  # about QUERY_BLOCK rows
         ids = block[key].to_numpy()
-        q = np.stack([np.asarray(v, np.float64) for v in block[column]]) if len(block) else np.zeros((0, 1))
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        q = _units(block[column])
         shared = spark.sparkContext.broadcast((ids, q))
 
         def best(frames, shared=shared):
@@ -45,12 +44,13 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, key: str, column: str, k
             for pdf in frames:
                 if not len(pdf) or not len(ids):
                     continue
-                d = np.stack([np.asarray(v, np.float64) for v in pdf[column]])
-                d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
-                scores = np.round(q @ d.T, decimals)
+                scores = np.round(q @ _units(pdf[column]).T, decimals)
                 vec = pdf[key].to_numpy()
+                # Only scores that can be among a row's k first are sorted, ties and the query itself included.
+                least = np.partition(scores, max(0, scores.shape[1] - k - 1), axis=1)[:, max(0, scores.shape[1] - k - 1)]
                 for i, one in enumerate(ids):
-                    s, v = np.concatenate([kept[i][0], scores[i]]), np.concatenate([kept[i][1], vec])
+                    fit = scores[i] >= least[i]
+                    s, v = np.concatenate([kept[i][0], scores[i][fit]]), np.concatenate([kept[i][1], vec[fit]])
                     s, v = s[v != one], v[v != one]
                     top = np.lexsort((v, -s))[:k]
                     kept[i] = (s[top], v[top])
@@ -64,6 +64,37 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, key: str, column: str, k
     return out.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
 
 
+def within(queries: DataFrame, vectors: DataFrame, key: str, column: str, most_distance: float) -> DataFrame:
+    """(query, vec, distance): rows within a Euclidean distance of each query at unit length, exact; queries go out in blocks."""
+    spark, out = vectors.sparkSession, None
+    total = queries.count()
+    blocks = -(-total // QUERY_BLOCK) or 1
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        block = own.select(key, column).toPandas()  # about QUERY_BLOCK rows
+        shared = spark.sparkContext.broadcast((block[key].to_numpy(), _units(block[column])))
+
+        def near(frames, shared=shared):
+            ids, q = shared.value
+            for pdf in frames:
+                if not len(pdf) or not len(ids):
+                    continue
+                vec, d = pdf[key].to_numpy(), _units(pdf[column])
+                i, j = np.nonzero((2 - 2 * (q @ d.T) < most_distance**2 + 1e-9) & (ids[:, None] != vec[None, :]))
+                distance = np.sqrt(((q[i] - d[j]) ** 2).sum(1))
+                keep = distance < most_distance
+                yield pd.DataFrame({"query": ids[i][keep], "vec": vec[j][keep], "distance": distance[keep]})
+
+        part = vectors.select(key, column).mapInPandas(near, "query bigint, vec bigint, distance double")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    d = np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
+
+
 def lsh_pairs(df: DataFrame, key: str, column: str, most_distance: float, tables: int = 8, width: float = 0.6, seed: int = 11) -> DataFrame:
     """Pairs of unit vectors within a Euclidean distance, found by bucketed random projections and verified."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer

@@ -142,7 +142,7 @@ def bracket_title(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", T.collapse(T._unless_empty(tail, F.col("b"))).alias("stripped"), F.array_join(F.array_sort(T.bracket_contents(F.col("t"))), "|").alias("brackets"))
 
 
-def _core_sql() -> str:
+def core_sql() -> str:
     """Core titles and artist cores of ASCII names, where \\b needs no lookbehind; one step a column."""
     def trim(x: str) -> str:
         return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -170,7 +170,7 @@ SELECT name, norm, regexp_replace(regexp_replace(t{last}, '\\s+', ' ', 'g'), '^[
   regexp_matches(a{end}, '^(release|various artists|v\\.?a\\.?|unknown artist|anonymous|traditional)$') AS generic, false AS cjk FROM w{end}"""
 
 
-@query(_core_sql())
+@query(core_sql())
 def core_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Core titles and artist cores of the distinct titles."""
     from ..operators.names import name_table
