@@ -57,6 +57,26 @@ def cross_min(a: Column | str, b: Column | str, f: Callable[[Column, Column], Co
     return F.array_min(cross(a, b, f))
 
 
+def least_gap(a: Column | str, b: Column | str) -> Column:
+    """Least difference of a number of one array and one of the other, null if either is empty.
+
+    It stands between neighbours of the sorted union, so it takes one sort and
+    one pass instead of the cross product.
+    """
+
+    def tagged(c: Column, side: int) -> Column:
+        return F.transform(c, lambda x: F.struct(x.cast("long").alias("v"), F.lit(side).alias("s")))
+
+    none = F.lit(None).cast("long")
+    start = F.struct(none.alias("v"), F.lit(-1).alias("s"), none.alias("gap"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.when((acc["s"] >= 0) & (acc["s"] != x["s"]), F.least(acc["gap"], x["v"] - acc["v"])).otherwise(acc["gap"])
+        return F.struct(x["v"].alias("v"), x["s"].alias("s"), gap.alias("gap"))
+
+    return F.aggregate(F.array_sort(F.concat(tagged(_c(a), 0), tagged(_c(b), 1))), start, step, lambda acc: acc["gap"])
+
+
 def ratio(a: Column, b: Column) -> Column:
     """min / max of two counts, with a denominator of one at least."""
     return F.least(a, b) / F.greatest(a, b, F.lit(1))

@@ -174,7 +174,7 @@ def same_uploader(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     a = entries.select(F.col("entry_id").alias("entry_a"), F.struct("*").alias("a"))
     b = entries.select(F.col("entry_id").alias("entry_b"), F.struct("*").alias("b"))
     rows = pairs.join(a.filter("a.uploads_only"), "entry_a").join(b.filter("b.uploads_only"), "entry_b")
-    gap = S.cross_min("a.durations", "b.durations", lambda x, y: F.abs(x - y))
+    gap = S.least_gap("a.durations", "b.durations")
     versions = F.array_remove(S.symmetric_difference("a.markers", "b.markers"), "mv")
     return rows.filter(S.overlap("a.uploaders", "b.uploaders") & (gap > UPLOAD_GAP_MS) & ~S.known(versions)).select(*pairs.columns)
 

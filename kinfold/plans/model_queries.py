@@ -153,17 +153,18 @@ def work_label_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of part pairs by their suppliers as works and return flags as attributes."""
     flag = F.col("l_returnflag")
     line = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.when(flag == "A", F.lit("live")).when(flag == "R", F.lit("cover")).otherwise(F.lit("demo")).alias("at"))
-    works = line.groupBy(F.col("l_partkey").alias("k")).agg(F.collect_set("l_suppkey").alias("works"), F.collect_set("at").alias("ats"), F.collect_set(F.struct("l_suppkey", "at")).alias("on"))
+    on = line.groupBy("l_partkey", "l_suppkey").agg(F.collect_set("at").alias("ats"))
+    works = on.groupBy(F.col("l_partkey").alias("k")).agg(
+        F.array_sort(F.collect_list("l_suppkey")).alias("works"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.map_from_entries(F.collect_list(F.struct("l_suppkey", "ats"))).alias("on")
+    )
     rows = candidate_pairs(spark, sf).join(works.select(F.col("k").alias("entry_a"), F.struct("works", "ats", "on").alias("a")), "entry_a").join(works.select(F.col("k").alias("entry_b"), F.struct("works", "ats", "on").alias("b")), "entry_b")
-    shared = F.array_intersect("a.works", "b.works")
-    rows = rows.withColumn("w", F.get(shared, F.lit(0)))
-
-    def on(side: str):
-        return F.array_distinct(F.transform(F.filter(f"{side}.on", lambda x: x["l_suppkey"] == F.col("w")), lambda x: x["at"]))
-
+    # Generated once a pair: the shared work, then its label, which the filter and three columns read.
+    rows = rows.select("*", F.explode(F.array(F.get(F.array_intersect("a.works", "b.works"), F.lit(0)))).alias("w"))
     none = F.lit(None).cast("int")
-    label = labels.work_label(F.col("a.works"), F.col("b.works"), F.col("a.ats"), F.col("b.ats"), on("a"), on("b"), none, none, F.lit(False))
-    return rows.withColumn("l", label).filter("l is not null").select("entry_a", "entry_b", "l.label", "l.kind", "l.derived")
+    empty = F.array().cast("array<string>")
+    at = [F.coalesce(F.try_element_at(f"{side}.on", F.col("w")), empty) for side in "ab"]
+    label = labels.work_label(F.col("a.works"), F.col("b.works"), F.col("a.ats"), F.col("b.ats"), *at, none, none, F.lit(False))
+    return rows.select("entry_a", "entry_b", F.inline(F.array(label))).filter("label is not null").select("entry_a", "entry_b", "label", "kind", "derived")
 
 
 @query("""

@@ -487,10 +487,10 @@ def judge_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT DISTINCT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS t FROM part),
-r AS (SELECT t FROM t GROUP BY t HAVING count(*) <= 40)
+r AS (SELECT t FROM t GROUP BY t HAVING count(*) <= 400)
 SELECT DISTINCT a.p_partkey AS entry_a, b.p_partkey AS entry_b FROM t a JOIN t b ON a.t = b.t AND a.p_partkey < b.p_partkey WHERE a.t IN (SELECT t FROM r)
 """)
 def rare_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts that share a word which at most forty carry."""
+    """Parts that share a word which at most four hundred carry."""
     rows = table(spark, sf, "part").select("p_partkey", T.tokens(F.lower("p_name")).alias("t"))
-    return blocking.shared_token_pairs(rows, "p_partkey", "t", 40)
+    return blocking.shared_token_pairs(rows, "p_partkey", "t", 400)

@@ -129,7 +129,9 @@ def duration_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_partkey", (F.col("l_quantity") * 1000).cast("long").alias("d"))
     pairs = _sides(candidate_pairs(spark, sf), _sets(rows, "l_partkey", "d", "s"), "s")
     known, ha, hb, la, lb = S.both_known("sa", "sb"), F.array_max("sa"), F.array_max("sb"), F.array_min("sa"), F.array_min("sb")
-    d = S.cross_min("sa", "sb", lambda x, y: F.abs(x - y))
+    # Generated once a pair: four columns read it.
+    pairs = pairs.select("*", F.explode(F.array(S.least_gap("sa", "sb"))).alias("least"))
+    d = F.col("least")
     return pairs.select(
         "entry_a", "entry_b", S.flag(known).alias("dur_known"), F.round(d / 1000, 6).alias("dur_delta_s"), F.when(known, F.round(d / F.greatest(ha, hb, F.lit(1)), 6)).alias("dur_rel"),
         F.when(known, (F.greatest(ha, hb) - F.least(la, lb)) / 1000).alias("dur_max_delta_s"), F.when(known, (ha - hb) / 1000).alias("s_dur"),
@@ -148,7 +150,7 @@ def year_features(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _sides(candidate_pairs(spark, sf), _sets(rows, "l_partkey", "y", "s"), "s")
     ga, gb = F.array_min("sa") - 1992, F.array_min("sb") - 1992
     return pairs.select(
-        "entry_a", "entry_b", S.flag(S.both_known("sa", "sb")).alias("years_known"), S.cross_min("sa", "sb", lambda x, y: F.abs(x - y)).cast("double").alias("year_delta"),
+        "entry_a", "entry_b", S.flag(S.both_known("sa", "sb")).alias("years_known"), S.least_gap("sa", "sb").cast("double").alias("year_delta"),
         F.least(ga, gb).cast("double").alias("gap_min"), F.greatest(ga, gb).cast("double").alias("gap_max"),
     )
 
