@@ -66,6 +66,8 @@ P = len(_X)
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _LEVEL = 64
+#: Levels that a group's rows fall in, about.
+_SUMMED = 300
 #: Groups up to which their parameters are broadcast; beyond, they are joined by shuffle.
 BROADCAST_GROUPS = 200_000
 
@@ -189,13 +191,27 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array("key", by_lang, F.lit("[]"))).alias("key"), *_X)
 
 
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """key and the median of each of the values, which take bounded many whole numbers: equal ones are counted before they meet."""
+    each = rows.select("key", F.posexplode(F.array(*values)).alias("i", "v")).groupBy("key", "i", "v").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("key", "i")
+    upto = each.select("key", "i", "v", F.sum("n").over(whole.orderBy("v")).alias("upto"), F.sum("n").over(whole).alias("all"))
+
+    def at(i: int, place: Column) -> Column:
+        return F.min(F.when((F.col("i") == i) & (F.col("upto") >= place), F.col("v")))
+
+    return upto.groupBy("key").agg(*[((at(i, F.ceil(F.col("all") / 2)) + at(i, F.floor(F.col("all") / 2) + 1)) / 2).alias(f"{name}{i}") for i in range(len(values))])
+
+
 def estimate(rows: DataFrame, groups: int) -> DataFrame:
     """key, n and parameters by MCD for every key of ``rows`` (key, statistics), of its language and of all."""
     rows = materialize(_levels(rows), "mcd-levels")
-    medians = materialize(rows.groupBy("key").agg(*[F.expr(f"percentile({x}, 0.5)").alias(f"d{i}") for i, x in enumerate(_X)]), "mcd-medians")
-    away = rows.join(_bounded(medians, groups), "key").groupBy("key").agg(*[F.first(f"d{i}").alias(f"d{i}") for i in range(P)], *[F.expr(f"percentile(abs({x} - d{i}), 0.5)").alias(f"a{i}") for i, x in enumerate(_X)])
-    away = away.select("key", *[f"d{i}" for i in range(P)], *[(F.col(f"a{i}") * 1.4826 + F.lit(_floor(i))).alias(f"a{i}") for i in range(P)])
-    away = materialize(away, "mcd-away")
+    medians = materialize(_medians(rows, [F.col(x) for x in _X], "d"), "mcd-medians", groups)
+    # Twice the distance from a median, which may lie between two values, is a whole number.
+    apart = [(2 * F.abs(F.col(x) - F.col(f"d{i}"))).cast("long") for i, x in enumerate(_X)]
+    away = _medians(rows.join(_bounded(medians, groups), "key"), apart, "a").join(_bounded(medians, groups), "key")
+    away = away.select("key", *[f"d{i}" for i in range(P)], *[(F.col(f"a{i}") / 2 * 1.4826 + F.lit(_floor(i))).alias(f"a{i}") for i in range(P)])
+    away = materialize(away, "mcd-away", groups)
 
     central = F.lit(True)
     for i, x in enumerate(_X):
@@ -204,7 +220,7 @@ def estimate(rows: DataFrame, groups: int) -> DataFrame:
     zero = away.select("key", F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), *[F.col(f"d{i}").alias(f"m{i}") for i in range(P)], *[(F.col(f"a{i}") ** 2 if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS])
     now = _factor(zero.unionByName(_moments(placed.groupBy("key", "start").agg(*_sums()), 1.0, "key", "start")))
     # A start's own determinant says nothing: the first step always counts.
-    now = materialize(now.withColumn("logdet", F.lit(float("inf"))), "mcd-start")
+    now = materialize(now.withColumn("logdet", F.lit(float("inf"))), "mcd-start", 3 * groups)
 
     half = chi2_quantile(COVERAGE, P)
     scale = COVERAGE / chi2_cdf(half, P + 2)
@@ -219,19 +235,18 @@ def estimate(rows: DataFrame, groups: int) -> DataFrame:
         upto = upto.filter(F.col("n") >= F.ceil(F.col("all") * COVERAGE))
         taken = upto.groupBy("key", "start").agg(F.min_by(F.struct(*names), "level").alias("t")).select("key", "start", "t.*")
         was = now.select("key", "start", F.struct("n", *_PARAMETERS, *[f"c{i}{j}" for i, j in _PAIRS], "logdet").alias("was"))
-        step = materialize(_factor(_moments(taken, scale, "key", "start")).join(was, ["key", "start"]), "mcd-step")
+        step = materialize(_factor(_moments(taken, scale, "key", "start")).join(was, ["key", "start"]), "mcd-step", 3 * groups * _SUMMED)
         falls = (F.col("was.logdet") - F.col("logdet") > LEAST_FALL) | F.col("was.logdet").eqNullSafe(F.lit(float("inf")))
-        done = materialize(step.filter(~falls).select("key", "start", "was.*"), "mcd-ended")
+        done = materialize(step.filter(~falls).select("key", "start", "was.*"), "mcd-ended", 3 * groups)
         ended = done if ended is None else ended.unionByName(done)
-        now = step.filter(falls).drop("was")
-        now = materialize(now, "mcd-now")
+        now = materialize(step.filter(falls).drop("was"), "mcd-now", 3 * groups)
     if ended is None:
         return rows.groupBy("key").agg(*_sums()).transform(lambda s: _moments(s, 1.0, "key"))
     best = ended.groupBy("key").agg(F.min_by(F.struct(*[c for c in ended.columns if c != "key"]), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
-    best = materialize(best, "mcd-best")
+    best = materialize(best, "mcd-best", 3 * groups)
     inner = chi2_quantile(0.975, P)
     near = rows.join(_bounded(best, groups), "key").filter(_distance() <= inner).select("key", *_X)
-    return materialize(_moments(near.groupBy("key").agg(*_sums()), 0.975 / chi2_cdf(inner, P + 2), "key"), "mcd-final")
+    return materialize(_moments(near.groupBy("key").agg(*_sums()), 0.975 / chi2_cdf(inner, P + 2), "key"), "mcd-final", groups)
 
 
 def shrunk(estimates: DataFrame, groups: int) -> DataFrame:
@@ -262,7 +277,7 @@ def _parameters(stats: DataFrame) -> tuple[DataFrame, int]:
     """Parameters of every language and source that rows pass the base rules in, and how many those are."""
     fit = stats.filter(~F.col("base_failed")).select("key", *_X)
     groups = 2 * fit.select("key").distinct().count() + 1
-    return materialize(shrunk(estimate(fit, groups), groups), "mcd-parameters"), groups
+    return materialize(shrunk(estimate(fit, groups), groups), "mcd-parameters", groups), groups
 
 
 def _judged(stats: DataFrame, parameters: DataFrame, groups: int) -> DataFrame:
