@@ -4,13 +4,19 @@ Each stage takes the rows that its predecessor kept, as the columns of
 ``documents``, and all but the last return such rows:
 
 quality rules            rows that fail them go
-n-gram Jaccard join      of every group of near duplicates the least doc_id stays
+n-gram Jaccard join      of every group of near duplicates one row stays, of the least doc_id
 benchmark decontamination  rows in which a benchmark item occurs go
 mixing to target weights rows are emitted as often as they are drawn
 token output             ids are written as bit-plane shards; one row per document read back
 
 Every stage's output is written as Parquet and read again as the next one's
 input, so a lost executor costs no more than one stage's work.
+
+Cases: null and empty texts fail the quality rules, as any under ten words do;
+null languages and sources are values of their own; null ids come last and are
+kept like others; repeated rows are one group of duplicates; very long texts are
+read whole; an empty table, or one that no row is left of, gives no rows; extra
+columns pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -51,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token output", token_output),
 ]
 
-#: The quality verdicts and the tokenizer cannot be put in SQL. The tests hold each operator against a plain version; none runs the stages in a row.
+#: The quality verdicts and the tokenizer cannot be put in SQL; tests/llm/test_pipeline.py holds run() against a plain chain of the stages.
 ORACLE_SQL = None
 
 

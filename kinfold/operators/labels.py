@@ -25,6 +25,9 @@ UNNAMED_SOURCES = ("isrc", "upc", "unknown_url")
 UPLOAD_SOURCES = ("youtube", "nicovideo")
 MV_CUT_MS, MV_DRAMA_MS, UPLOAD_GAP_MS = 15_000, 90_000, 3_000
 PROBE_NEGATIVES = 3
+# Where a label comes from.
+WHY_RECORDING, WHY_ARTIST, WHY_NO_ARTIST, WHY_GROUP, WHY_NO_GROUP = "mb_rec_rec", "mb_artist_rel", "mb_artist_distinct", "mb_same_rg", "mb_rg_disjoint"
+WHY_NO_WORK, WHY_GAP_SIBLING, WHY_GAP_DERIVED, WHY_ATTRIBUTE, WHY_SIBLING = "mb_work_disjoint", "mb_work_gap_siblings", "mb_work_gap_derived", "mb_work_attr", "mb_work_siblings"
 
 LABEL = "struct<label:string,kind:string,derived:string,why:string>"
 
@@ -60,10 +63,10 @@ def music_video_label(extra: Column, named: Column, audio_ms: Column, video_ms:
     """A music video is the same only where it can stand in for the audio."""
     extra = F.array_except(extra, F.array(F.lit("mv"), F.lit("full")))
     return (
-        F.when(F.array_contains(extra, "short") | F.coalesce(video_ms < audio_ms - MV_CUT_MS, F.lit(False)), _label("related", "edit", derived, "mb_rec_rec"))
-        .when(S.known(extra) | S.known(named), _label("related", "alt_version", derived, "mb_rec_rec"))
-        .when(F.coalesce(video_ms > audio_ms + MV_DRAMA_MS, F.lit(False)), _label("unsure", why="mb_rec_rec"))
-        .otherwise(_label("same", why="mb_rec_rec"))
+        F.when(F.array_contains(extra, "short") | F.coalesce(video_ms < audio_ms - MV_CUT_MS, F.lit(False)), _label("related", "edit", derived, WHY_RECORDING))
+        .when(S.known(extra) | S.known(named), _label("related", "alt_version", derived, WHY_RECORDING))
+        .when(F.coalesce(video_ms > audio_ms + MV_DRAMA_MS, F.lit(False)), _label("unsure", why=WHY_RECORDING))
+        .otherwise(_label("same", why=WHY_RECORDING))
     )
 
 
@@ -96,7 +99,7 @@ def recording_labels(found: DataFrame, recordings: DataFrame) -> DataFrame:
     label = F.lit(None).cast(LABEL)
     for name, (kind_of, kind, end) in RECORDING_RELATIONS.items():
         derived = F.when(F.col("flip") == (end == 0), F.lit("b")).otherwise(F.lit("a"))
-        value = music_video_label(F.array_except(m1, m0), F.array_except(v1, v0), F.col("ms0"), F.col("ms1"), derived) if kind_of == "mv" else _label(kind_of, kind, derived, "mb_rec_rec")
+        value = music_video_label(F.array_except(m1, m0), F.array_except(v1, v0), F.col("ms0"), F.col("ms1"), derived) if kind_of == "mv" else _label(kind_of, kind, derived, WHY_RECORDING)
         label = F.when(F.col("relation") == name, value).otherwise(label)
     return resolved(rows.select("entry_a", "entry_b", label.alias("l")))
 
@@ -129,14 +132,14 @@ def work_label(works_a: Column, works_b: Column, attributes_a: Column, attribute
         lo, hi = F.least(x["ga"], x["gb"]), F.greatest(x["ga"], x["gb"])
         return (
             F.when((n == 0) & x["skip"], none)
-            .when(n == 0, _label("unrelated", why="mb_work_disjoint"))
+            .when(n == 0, _label("unrelated", why=WHY_NO_WORK))
             .when((n > 1) | x["skip_shared"], none)
-            .when(gaps & (lo >= 2), _label("sibling", kind, why="mb_work_gap_siblings"))
-            .when(gaps & (lo <= 1) & (hi >= 2), _label("related", kind, F.when(x["ga"] > x["gb"], F.lit("a")).otherwise(F.lit("b")), "mb_work_gap_derived"))
+            .when(gaps & (lo >= 2), _label("sibling", kind, why=WHY_GAP_SIBLING))
+            .when(gaps & (lo <= 1) & (hi >= 2), _label("related", kind, F.when(x["ga"] > x["gb"], F.lit("a")).otherwise(F.lit("b")), WHY_GAP_DERIVED))
             .when(~S.known(ka) & ~S.known(kb), none)
-            .when(S.known(ka) & ~S.known(kb), _label("related", kind, "a", "mb_work_attr"))
-            .when(S.known(kb) & ~S.known(ka), _label("related", kind, "b", "mb_work_attr"))
-            .otherwise(_label("sibling", kind, why="mb_work_siblings"))
+            .when(S.known(ka) & ~S.known(kb), _label("related", kind, "a", WHY_ATTRIBUTE))
+            .when(S.known(kb) & ~S.known(ka), _label("related", kind, "b", WHY_ATTRIBUTE))
+            .otherwise(_label("sibling", kind, why=WHY_SIBLING))
         )
 
     # What the rules ask for is bound once per row; each rule then reads it.
@@ -151,12 +154,12 @@ def artist_labels(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Related by one of five relations; other relations say nothing; none at all means unrelated."""
     rows = found.groupBy("entry_a", "entry_b").agg(F.max(F.col("relation").isin(*ARTIST_RELATED)).alias("related"))
     out = pairs.join(rows, ["entry_a", "entry_b"], "left")
-    label = F.when(F.col("related"), _label("related", why="mb_artist_rel")).when(F.col("related").isNull(), _label("unrelated", why="mb_artist_distinct"))
+    label = F.when(F.col("related"), _label("related", why=WHY_ARTIST)).when(F.col("related").isNull(), _label("unrelated", why=WHY_NO_ARTIST))
     return out.withColumn("l", label).filter("l is not null").select("entry_a", "entry_b", "l.*")
 
 
 def release_label(groups_a: Column, groups_b: Column) -> Column:
-    return F.when(S.both_known(groups_a, groups_b), F.when(S.overlap(groups_a, groups_b), _label("related", why="mb_same_rg")).otherwise(_label("unrelated", why="mb_rg_disjoint")))
+    return F.when(S.both_known(groups_a, groups_b), F.when(S.overlap(groups_a, groups_b), _label("related", why=WHY_GROUP)).otherwise(_label("unrelated", why=WHY_NO_GROUP)))
 
 
 def provider_labels(relations: DataFrame) -> DataFrame:
