@@ -231,3 +231,34 @@ def audit(df: DataFrame, truth: str, predictions: list[str], category: str = "ca
         out.append((F.count_if(decided & (coarse(p) == coarse(truth))) / F.nullif(F.count_if(decided), F.lit(0))).alias(f"{p}_accuracy"))
         out.append((F.count_if(~decided) / F.count("*")).alias(f"{p}_undecided"))
     return df.groupBy(category).agg(F.count("*").alias("n"), *out)
+
+
+#: Fixed: how far from a half a direction is confident.
+CONFIDENT = 0.3
+
+
+def direction_report(df: DataFrame, p: str, truth: Column, by: str = "kind") -> DataFrame:
+    """Of direction probabilities against the true side, by kind and for all: rows, mean, accuracy; share and accuracy of the confident ones."""
+    sure = F.abs(F.col(p) - 0.5) > CONFIDENT
+    right = (F.col(p) > 0.5) == truth
+    out = df.groupingSets([[], [F.col(by)]], F.col(by)).agg(
+        F.grouping(by).alias("_all"), F.count("*").alias("n"), F.avg(p).alias("mean"), F.avg(right.cast("double")).alias("accuracy"),
+        (F.count_if(sure) / F.count("*")).alias("coverage"), (F.count_if(sure & right) / F.nullif(F.count_if(sure), F.lit(0))).alias("confident_accuracy"),
+    )
+    return out.withColumn(by, F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(by))).drop("_all")
+
+
+def structure_report(df: DataFrame, p: str, truth: Column, tier: str = "tier") -> DataFrame:
+    """Precision and recall of a structure probability at one half, and accuracy, by tier and for all."""
+    said = F.col(p) > 0.5
+    out = df.groupingSets([[], [F.col(tier)]], F.col(tier)).agg(
+        F.grouping(tier).alias("_all"), F.count("*").alias("n"), (F.count_if(said & truth) / F.greatest(F.count_if(said), F.lit(1))).alias("precision"),
+        (F.count_if(said & truth) / F.greatest(F.count_if(truth), F.lit(1))).alias("recall"), F.avg((said == truth).cast("double")).alias("accuracy"),
+    )
+    return out.withColumn(tier, F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(tier))).drop("_all")
+
+
+def within_budget(sizes: dict[str, int], budget: float, per_call: float) -> dict[str, int]:
+    """Strata sizes scaled down alike so that all calls together cost no more than the budget."""
+    most, total = int(budget / per_call), sum(sizes.values())
+    return dict(sizes) if total <= most else {k: n * most // total for k, n in sizes.items()}

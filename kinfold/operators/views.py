@@ -142,16 +142,23 @@ def view_key(pairs: Column | str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.array_distinct(pairs)), lambda p: F.concat(p["source"], F.lit("\x1f"), p["identifier"])), "\x1e")
 
 
-def entry_texts(entries: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def entry_texts(entries: DataFrame, tables: dict[str, DataFrame], strict: bool = False) -> DataFrame:
     """(entry_id, text): an entry's title, conditioned for tracks on an artist.
 
     The artist is that of the first pair that carries the title, else that of
     the first pair that has one.  ``entries`` has entry_id, entry_type and title.
+    Entries without facts have no row; with ``strict`` they are an error.
     """
     source = tables["entry_source"].select(*PAIR, "entry_id")
     best = best_names(tables["entry_source"], tables["entry_alias"])
     artist = primary_artists(tables["contribution"]).join(best.select(F.struct(*PAIR).alias("artist"), F.col("best_name").alias("artist_name")), "artist", "left")
     carries = tables["entry_alias"].select(*PAIR, F.col("name").alias("title")).distinct().withColumn("carries", F.lit(True))
+    if strict:
+        known = source.select("entry_id").distinct().withColumn("known", F.lit(True))
+        lost = F.raise_error(F.concat(F.lit("no facts of entry "), F.col("entry_id").cast("string")))
+        entries = entries.join(known, "entry_id", "left").withColumn("title", F.when(F.col("known"), F.col("title")).otherwise(lost)).drop("known")
+        # Left: an entry without facts reaches the error instead of going with the join.
+        source = entries.select("entry_id", F.col("title").alias("of")).join(source, "entry_id", "left").drop("of")
     rows = entries.join(source, "entry_id").join(artist.select(*PAIR, "artist_name"), PAIR, "left").join(carries, [*PAIR, "title"], "left")
     place = F.when(F.col("artist_name").isNotNull(), F.struct(F.coalesce(~F.col("carries"), F.lit(True)), *PAIR))
     rows = rows.groupBy("entry_id", "entry_type", "title").agg(F.min_by("artist_name", place).alias("artist_name"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sets as S
 from ..functions import text as T
-from ..operators import blocking, cards, evaluate, features, judge, labels, models, policy, views
+from ..operators import blocking, cards, evaluate, features, judge, labels, models, packing, policy, views
 from ..sources import readers
 from ..sources.staging import scratch
 from ..sources.star import PAIRS_SQL, candidate_pairs, table
@@ -338,6 +338,62 @@ def presented_sample(spark: SparkSession, sf: str) -> DataFrame:
     return shown.select(F.col("item_id").alias("p_partkey"), "seq")
 
 
+def _unit_sql(c: str) -> str:
+    return f"('0x' || substr(sha1('{c}' || p_partkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+_SCORED = f"SELECT p_partkey, p_type AS kind, round({_unit_sql('dir')}, 6) AS p, p_size % 2 = 0 AS truth FROM part"
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.round(evaluate.hash_unit(F.concat(F.lit("dir"), F.col("p_partkey").cast("string"))), 6)
+    return table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"), p.alias("p"), (F.col("p_size") % 2 == 0).alias("truth"))
+
+
+def _direction_sql(kind: str, group: str) -> str:
+    return f"""SELECT {kind} AS kind, count(*)::BIGINT AS n, round(avg(p), 9) AS mean, avg(((p > 0.5) = truth)::INT)::DOUBLE AS accuracy, count(*) FILTER (abs(p - 0.5) > 0.3) / count(*) AS coverage,
+  count(*) FILTER (abs(p - 0.5) > 0.3 AND (p > 0.5) = truth) / nullif(count(*) FILTER (abs(p - 0.5) > 0.3), 0) AS confident_accuracy FROM ({_SCORED}) {group}"""
+
+
+@query(f"{_direction_sql('kind', 'GROUP BY kind')} UNION ALL {_direction_sql(chr(39) + 'all' + chr(39), '')}")
+def direction_report(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.direction_report(_scored(spark, sf), "p", F.col("truth")).withColumn("mean", F.round("mean", 9))
+
+
+def _structure_sql(kind: str, group: str) -> str:
+    return f"""SELECT {kind} AS kind, count(*)::BIGINT AS n, count(*) FILTER (p > 0.5 AND truth) / greatest(count(*) FILTER (p > 0.5), 1) AS precision, count(*) FILTER (p > 0.5 AND truth) / greatest(count(*) FILTER (truth), 1) AS recall,
+  avg(((p > 0.5) = truth)::INT)::DOUBLE AS accuracy FROM ({_SCORED}) {group}"""
+
+
+@query(f"{_structure_sql('kind', 'GROUP BY kind')} UNION ALL {_structure_sql(chr(39) + 'all' + chr(39), '')}")
+def structure_report(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.structure_report(_scored(spark, sf), "p", F.col("truth"), "kind")
+
+
+@query("""
+WITH s AS (SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'small' ELSE 'large' END AS stratum FROM part), z AS (SELECT * FROM (VALUES ('small', 30 * 50 // 90), ('large', 60 * 50 // 90)) z(stratum, size)),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha1(p_partkey::VARCHAR), p_partkey) AS k FROM s JOIN z USING (stratum))
+SELECT p_partkey, stratum FROM r WHERE k <= size
+""")
+def budget_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Strata sizes scaled to what a budget pays for, then picked."""
+    sizes = evaluate.within_budget({"small": 30, "large": 60}, budget=1.0, per_call=0.02)
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") <= 10, F.lit("small")).otherwise(F.lit("large")).alias("stratum"))
+    size = F.when(F.col("stratum") == "small", sizes["small"]).otherwise(sizes["large"])
+    return evaluate.stratified_sample(rows, "stratum", size, "p_partkey").select("p_partkey", "stratum")
+
+
+@query("SELECT count(*)::BIGINT AS texts, sum(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1))::BIGINT AS tokens, true AS fits, true AS sorted FROM documents")
+def packed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in batches of like length: none costs more than the budget but for single long ones, each batch follows in length on the one before."""
+    n = F.greatest(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
+    batches = packing.packed(table(spark, sf, "documents").select("doc_id", n.alias("n")), "doc_id", "n").groupBy("task", "batch").agg(F.count("*").alias("rows"), F.sum("length").alias("tokens"), F.max("length").alias("hi"), F.min("length").alias("lo"))
+    before = F.lag("hi").over(Window.partitionBy("task").orderBy("batch"))
+    batches = batches.withColumn("follows", F.coalesce(before <= F.col("lo"), F.lit(True)))
+    fits = (F.col("rows") == 1) | ((F.col("hi") * F.col("rows") <= packing.MOST_TOKENS) & (F.col("rows") <= packing.MOST_SEQUENCES))
+    return batches.agg(F.sum("rows").alias("texts"), F.sum("tokens").alias("tokens"), F.bool_and(fits).alias("fits"), F.bool_and("follows").alias("sorted"))
+
+
 # policy, models, judge
 
 

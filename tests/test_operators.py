@@ -210,3 +210,23 @@ def test_entry_texts(spark):
     assert {r.entry_id: r.text for r in views.entry_texts(e, t).collect()} == {1: "U [A] Y", 9: "X"}
     e = spark.createDataFrame([(1, "track", "none")], "entry_id long, entry_type string, title string")
     assert views.entry_texts(e, t).first().text == "none [A] X"
+
+
+def test_texts_of_entries_without_facts(spark):
+    from kinfold.operators import views
+
+    tables = {
+        "entry_source": spark.createDataFrame([("s", "1", 10)], "source string, identifier string, entry_id long"),
+        "entry_alias": spark.createDataFrame([(1, "s", "1", "Song", True)], "id long, source string, identifier string, name string, primary boolean"),
+        "contribution": spark.createDataFrame([], schema.CONTRIBUTION),
+    }
+    entries = spark.createDataFrame([(10, "track", "Song"), (11, "track", "Lost")], "entry_id long, entry_type string, title string")
+    assert [(r.entry_id, r.text) for r in views.entry_texts(entries, tables).collect()] == [(10, "Song")]
+    assert [(r.entry_id, r.text) for r in views.entry_texts(entries.filter("entry_id = 10"), tables, strict=True).collect()] == [(10, "Song")]
+    with pytest.raises(Exception, match="no facts of entry 11"):
+        views.entry_texts(entries, tables, strict=True).collect()
+
+
+def test_budget_scales_strata_alike():
+    assert evaluate.within_budget({"a": 10, "b": 30}, 1.0, 0.01) == {"a": 10, "b": 30}
+    assert evaluate.within_budget({"a": 100, "b": 300}, 1.0, 0.01) == {"a": 25, "b": 75}
