@@ -149,6 +149,16 @@ def _find_edges(batches, span, kmer, bits):
         )
 
 
+def _own_nodes(places: np.ndarray, nodes: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Each window's own node: the first from the window's start on that has the least hash."""
+    at = np.searchsorted(places, np.arange(len(least)))
+    open_ = np.flatnonzero(nodes[at] != least)
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[nodes[at[open_]] != least[open_]]
+    return at
+
+
 def _on_paths(id_: int, paths: list[dict], places: np.ndarray, nodes: np.ndarray, least: np.ndarray, words: list[bytes], span: int, kmer: int):
     """Of a document's windows: which lie on a path, which of those repeat an earlier document; its paths' nodes, and what their words say."""
     n = len(words)
@@ -157,39 +167,24 @@ def _on_paths(id_: int, paths: list[dict], places: np.ndarray, nodes: np.ndarray
         return on, again, inner[0], claims
     length = {p["head"]: (p["m"], p["first"]) for p in paths}
     signed = W.signed(nodes)
-    # Each window's node: the first place from the window's start on that has its hash.
-    node_at: dict[int, list[int]] = {}
-    for i, v in enumerate(nodes.tolist()):
-        node_at.setdefault(v, []).append(i)
+    own = _own_nodes(places, nodes, least)
     for i in np.flatnonzero(np.isin(signed, np.fromiter(length, np.int64, len(length)))).tolist():
         m, first = length[int(signed[i])]
         if i + m > len(places):  # only where hashes collide: the claim fails
-            claims.append({"head": int(signed[i]), "digest": b"short"})
+            claims.append((int(signed[i]), b"short"))
             continue
         lo = int(places[i - 1]) if i else 0
         hi = int(places[i + m]) + kmer if i + m < len(places) else n
         shape = np.concatenate((places[i : i + m] - lo, [lo == 0 and i == 0, i + m == len(places)])).astype(np.int64).tobytes()
-        claims.append({"head": int(signed[i]), "digest": _said(words[lo:hi], shape, nodes[i : i + m].tobytes())})
+        claims.append((int(signed[i]), _said(words[lo:hi], shape, nodes[i : i + m].tobytes())))
         inner.append(nodes[i : i + m])
-        # Windows between the ends whose first place of their node is one of the path's.
-        starts = np.arange(lo, hi - span + 1)
-        if not len(starts):
-            continue
-        k = np.searchsorted(places, starts)  # first node at or after each start
-        own = np.full(len(starts), -1)
-        want = least[starts]
-        open_ = np.arange(len(starts))
-        while len(open_):
-            j = k[open_]
-            fit = nodes[np.minimum(j, len(nodes) - 1)] == want[open_]
-            own[open_[fit]] = j[fit]
-            k[open_] += 1
-            open_ = open_[~fit]
-            open_ = open_[k[open_] < len(nodes)]
-        mine = starts[(own >= i) & (own < i + m)]
-        on[mine] = True
-        if id_ > first:
-            again[mine] = True
+        # Windows between the path's ends whose own node is on it.
+        stop = hi - span + 1
+        if stop > lo:
+            mine = (own[lo:stop] >= i) & (own[lo:stop] < i + m)
+            on[lo:stop] |= mine
+            if id_ > first:
+                again[lo:stop] |= mine
     return on, again, np.concatenate(inner), claims
 
 
@@ -218,23 +213,29 @@ def _follow(batches, span, kmer, bits):
                     out["kept_sha256"].append(None)
                     out["text"].append(texts[lo + d].as_py())
                     out["sure"].append(np.flatnonzero(repeated).tolist())
-                    out["asked"].append([{"at": j, "digest": _said(said[j : j + span])} for j in ask.tolist()])
+                    out["asked"].append([(j, _said(said[j : j + span])) for j in ask.tolist()])
                 else:
                     gone = W.covered(np.flatnonzero(repeated), span, len(h))
                     out["n_removed"].append(int(gone.sum()))
                     out["kept_sha256"].append(_digest(words, doc, ~gone))
                     for k in ("text", "sure", "asked"):
                         out[k].append(None)
-        digest = pa.binary()
-        kinds = (
-            pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("at", pa.int32()), ("digest", digest)])), pa.list_(pa.struct([("head", pa.int64()), ("digest", digest)])),
-        )
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        plain = [pa.array(out[k], kind) for k, kind in zip(("n_words", "n_removed", "kept_sha256", "text", "sure"), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("doc_id"), batch.column("row_key"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
+            [batch.column("id"), batch.column("doc_id"), batch.column("row_key"), *plain, _pairs(out["asked"], "at", pa.int32()), _pairs(out["claims"], "head", pa.int64())],
             names=["id", "doc_id", "row_key", *out],
         )
 
 
+def _pairs(rows: list[list[tuple[int, bytes]] | None], name: str, kind: pa.DataType) -> pa.Array:
+    """Lists of (number, digest) structs, without a Python object for each struct."""
+    sizes = np.concatenate(([0], np.cumsum([len(r or ()) for r in rows]))).astype(np.int32)
+    flat = [x for r in rows for x in r or ()]
+    structs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], kind), pa.array([x[1] for x in flat], pa.binary())], names=[name, "digest"])
+    return pa.ListArray.from_arrays(pa.array(sizes), structs)
+
+
 def _values(column: pa.Array, i: int) -> np.ndarray:
     return np.asarray(column[i].values) if column[i].is_valid else np.zeros(0, np.int64)
 
@@ -307,7 +308,7 @@ def _removed(rows: DataFrame, own: DataFrame, span: int, kmer: int, bits: int, b
             return None
 
     # Windows at branches, by the first document that has their words.
-    asked = followed.select("id", "row_key", F.inline("asked"))
+    asked = followed.filter("n_removed is null").select("id", "row_key", F.inline("asked"))
     first = asked.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     first = materialize(first.select("digest", "first"), "repeat-windows")
     found = asked.join(first, "digest").filter("id > first").groupBy("id", "row_key").agg(F.collect_set("at").alias("found"))
