@@ -71,7 +71,8 @@ def _digest(words: W.Words, doc: slice, keep: np.ndarray | None = None) -> str:
 
 def _said(words: list[bytes], *more: bytes) -> bytes:
     """128 bits that stand for a sequence of words."""
-    return hashlib.blake2b(b" ".join(words) + b"".join(b"\0" + m for m in more), digest_size=16).digest()
+    text = b" ".join(words)
+    return hashlib.blake2b(b"\0".join((text, *more)) if more else text, digest_size=16).digest()
 
 
 def _nodes(hashes: np.ndarray, span: int, kmer: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
