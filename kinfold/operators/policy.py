@@ -56,6 +56,11 @@ def to_runtime(verdict: Column) -> Column:
     return F.when(verdict == "SIBLING", F.lit("DISTINCT")).otherwise(verdict)
 
 
+def sibling_verdict(verdict: Column, shared: Column) -> Column:
+    """RELATE becomes DISTINCT where both entries derive from one original."""
+    return F.when(shared & (verdict == "RELATE"), F.lit("DISTINCT")).otherwise(verdict)
+
+
 def veto_siblings(rows: DataFrame, derived_from: DataFrame) -> DataFrame:
     """RELATE becomes DISTINCT where both entries derive from one original (entry, original)."""
     edges = derived_from.select("entry", "original").distinct()
@@ -63,7 +68,7 @@ def veto_siblings(rows: DataFrame, derived_from: DataFrame) -> DataFrame:
     shared = left.join(edges.select(F.col("entry").alias("entry_a"), "original"), "entry_a").join(edges.select(F.col("entry").alias("entry_b"), "original"), ["entry_b", "original"])
     shared = shared.select("entry_a", "entry_b").distinct().withColumn("veto", F.lit(True))
     out = rows.join(shared, ["entry_a", "entry_b"], "left")
-    return out.withColumn("verdict", F.when(F.col("veto") & (F.col("verdict") == "RELATE"), F.lit("DISTINCT")).otherwise(F.col("verdict"))).drop("veto")
+    return out.withColumn("verdict", sibling_verdict(F.col("verdict"), F.col("veto"))).drop("veto")
 
 
 def strongest_kind(kinds: tuple[str, ...]) -> Column:
