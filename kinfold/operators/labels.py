@@ -83,6 +83,19 @@ def symmetric_relations(pairs: DataFrame, ids: DataFrame, relations: DataFrame)
     return a.join(ways, "x").join(b, ["entry_b", "y"]).select("entry_a", "entry_b", "gid0", "gid1", "relation", "flip")
 
 
+def relations_within(entries: DataFrame, ids: DataFrame, relations: DataFrame, same: list[str]) -> DataFrame:
+    """``symmetric_relations`` of all pairs of entries that agree in the columns ``same``, entry_a < entry_b.
+
+    Begins at the relations: pairs without one are never made.  A relation that
+    stands twice is found once.
+    """
+    known = ids.select("entry_id", "gid").join(entries.select("entry_id", *same), "entry_id")
+    x = known.select(F.col("gid").alias("gid0"), F.col("entry_id").alias("x"), *same)
+    y = known.select(F.col("gid").alias("gid1"), F.col("entry_id").alias("y"), *same)
+    rows = relations.select("gid0", "gid1", "relation").join(x, "gid0").join(y, ["gid1", *same]).filter("x <> y")
+    return rows.select(F.least("x", "y").alias("entry_a"), F.greatest("x", "y").alias("entry_b"), "gid0", "gid1", "relation", (F.col("x") > F.col("y")).alias("flip")).distinct()
+
+
 def recording_labels(found: DataFrame, recordings: DataFrame) -> DataFrame:
     """One label for each pair of entries from its recording relations, where they agree.
 

@@ -72,3 +72,13 @@ def test_probe_negatives_over_blocks(spark, monkeypatch, block):
     assert rows_of(df) == rows_of_sql(catalog.SQL["probe_negatives"], FOLDER)
     # The draws of all pairs were a window's input; now only those drawn are.
     assert "FlatMapGroupsInArrow" in _plan(df)
+
+
+def test_relations_begin_at_relations(spark):
+    entries = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "entry_id long, kind string")
+    ids = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30), (4, 40), (5, 50)], "entry_id long, gid long")
+    edges = spark.createDataFrame([(20, 10, "r"), (20, 10, "r"), (11, 20, "s"), (10, 11, "t"), (10, 30, "u"), (40, 50, "v")], "gid0 long, gid1 long, relation string")
+    got = sorted(tuple(r) for r in labels.relations_within(entries, ids, edges, ["kind"]).collect())
+    assert got == [(1, 2, 11, 20, "s", False), (1, 2, 20, 10, "r", True)]
+    plan = _plan(catalog.QUERIES["symmetric_relation_lookup"](spark, FOLDER))
+    assert not [x for x in plan.splitlines() if "Join" in x and re.search(r"Join \[p_brand#\d+, p_type#\d+\]", x)]
