@@ -190,9 +190,23 @@ def same_uploader(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     a = entries.select(F.col("entry_id").alias("entry_a"), F.struct("*").alias("a"))
     b = entries.select(F.col("entry_id").alias("entry_b"), F.struct("*").alias("b"))
     rows = pairs.join(a.filter("a.uploads_only"), "entry_a").join(b.filter("b.uploads_only"), "entry_b")
-    gap = S.least_gap("a.durations", "b.durations")
+    return rows.filter(S.overlap("a.uploaders", "b.uploaders") & _different_songs()).select(*pairs.columns)
+
+
+def _different_songs() -> Column:
+    """Of structs a and b: apart in length, alike in version."""
+    one = (F.size("a.durations") == 1) & (F.size("b.durations") == 1)
+    gap = F.when(one, F.abs(F.get("a.durations", F.lit(0)) - F.get("b.durations", F.lit(0)))).otherwise(S.least_gap("a.durations", "b.durations"))
     versions = F.array_remove(S.symmetric_difference("a.markers", "b.markers"), "mv")
-    return rows.filter(S.overlap("a.uploaders", "b.uploaders") & (gap > UPLOAD_GAP_MS) & ~S.known(versions)).select(*pairs.columns)
+    return (gap > UPLOAD_GAP_MS) & ~S.known(versions)
+
+
+def same_uploader_pairs(entries: DataFrame) -> DataFrame:
+    """``same_uploader`` of all pairs of entries with a channel in common, entry_a < entry_b; they meet by channel, at the least that they share."""
+    rows = entries.filter("uploads_only").select(F.explode(F.array_distinct("uploaders")).alias("channel"), F.struct("entry_id", "uploaders", "durations", "markers").alias("a"))
+    rows = rows.join(rows.withColumnRenamed("a", "b"), "channel").filter("a.entry_id < b.entry_id")
+    first = F.array_min(F.array_intersect("a.uploaders", "b.uploaders")) == F.col("channel")
+    return rows.filter(first & _different_songs()).select(F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"))
 
 
 def judge_labels(answers: DataFrame, groups: DataFrame, track_confidence: float = 0.9, other_confidence: float = 0.8) -> DataFrame:
