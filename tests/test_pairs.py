@@ -108,6 +108,22 @@ def test_event_ids_that_repeat(spark, tmp_path):
     assert got == rows_of_sql(catalog.SQL["same_uploader_neg"], str(folder)) and len(got[1]) == 8
 
 
+def test_projections_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    report = blocking.projections_recall(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 1.0).first()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = np.linalg.norm(u[::20, None] - u[None], axis=2)
+    near = (d < 1.0) & (np.arange(0, 400, 20)[:, None] != np.arange(400))
+    assert report.pairs == near.sum() > 0 and report.wrong == 0 and 0 < report.hits <= report.pairs
+    assert report.total == pytest.approx(d[near].sum())
+    # A narrow bucket and one table miss pairs: what is found is found by buckets.
+    assert blocking.projections_recall(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 1.0, tables=1, width=0.01).first().hits < near.sum() / 2
+    plan = _plan(catalog.QUERIES["lsh_candidates"](spark, FOLDER))
+    assert "Join" not in plan
+
+
 def test_documents_do_not_meet_every_title(spark):
     # A document's own words decide; rows of document and title are not made.
     assert not re.search(r"Exchange hash.*line#", _plan(catalog.QUERIES["token_jaccard_max"](spark, FOLDER)))
