@@ -18,7 +18,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["credits_jacc", "artist_jacc", "group_features", "position_features", "provider_siblings", "work_label_rules", "duration_features", "year_features"])
+@pytest.mark.parametrize("name", ["pair_feature_matrix", "credits_jacc", "artist_jacc", "group_features", "position_features", "provider_siblings", "work_label_rules", "duration_features", "year_features"])
 def test_pairs_are_not_shuffled(spark, name):
     # No table is small enough to be sent out whole.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
