@@ -2,11 +2,12 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from kinfold.operators import blocking, labels, pairwork
+from kinfold.operators import blocking, features, labels, pairmatrix, pairwork
 from kinfold.plans import catalog
 
 from .oracle import rows_of, rows_of_sql
@@ -127,3 +128,72 @@ def test_projections_against_brute_force(spark):
 def test_documents_do_not_meet_every_title(spark):
     # A document's own words decide; rows of document and title are not made.
     assert not re.search(r"Exchange hash.*line#", _plan(catalog.QUERIES["token_jaccard_max"](spark, FOLDER)))
+
+
+def _views(draw):
+    """Views of several types, with several names, empty lists and equal vectors."""
+    names = ["Song (live)", "Song (live) [Inst.]", "曲 2nd ver.", "Song remix 12", "", "Another Song 12", "no title", "Various Artists", "Song"]
+    kinds = ["track", "artist", "release"]
+
+    def some(of, most):
+        return draw.sample(of, draw.randrange(0, most + 1))
+
+    rows = []
+    for i in range(48):
+        own, artists, releases = some(names, 3), some(["A", "B (x)", "C", "D"], 3), some(range(9), 4)
+        positions = [(r, 1, t) for r in releases for t in some(range(3), 2)]
+        rows.append((kinds[i % 3], i, kinds[i % 3], own, [f"{n} [A] {i % 2}" for n in own], artists, some(names, 3), *[[int(v) for v in some(range(9), 4)] for _ in range(2)], releases, positions, *[some(range(9), 4) for _ in range(3)], sorted(some(range(0, 900000, 1500), 4)), some(range(1990, 2000), 2), some([2001, 1999], 1), some([1990, 1980], 2), some(["album", "ep"], 2), i % 5 == 0))
+    return rows
+
+
+_VIEWS = "kind string, view long, type string, names array<string>, texts array<string>, artist_names array<string>, child_names array<string>, artists array<long>, uploaders array<long>, releases array<long>, positions array<struct<release long, disc long, track long>>, groups array<long>, children array<long>, credits array<long>, durations array<long>, years array<int>, rec_years array<int>, work_first array<int>, rtypes array<string>, video_only boolean"
+
+
+@pytest.mark.parametrize(("block", "most"), [(1024, 1 << 17), (5, 3)])
+def test_matrix_against_pair_features(spark, monkeypatch, block, most):
+    monkeypatch.setattr(pairwork, "BLOCK", block)
+    monkeypatch.setattr(pairmatrix, "MOST_VECTORS", most)
+    monkeypatch.setattr(pairmatrix, "PAIRS", 50)
+    views = spark.createDataFrame(_views(random.Random(5)), _VIEWS)
+    texts = sorted(r.text for r in features.texts_to_embed(views).collect())
+    rng = np.random.default_rng(2)
+    vector = {t: rng.normal(size=80).astype(np.float32).tolist() for t in texts}
+    for a, b in zip(texts[::4], texts[1::4]):
+        vector[a] = vector[b]
+    sides = features.sides(views, spark.createDataFrame(list(vector.items()), "text string, vector array<float>")).cache()
+    groups = views.select("kind", "view")
+    pairs = groups.withColumnRenamed("view", "entry_a").join(groups.withColumnRenamed("view", "entry_b"), "kind").filter("entry_a < entry_b").select("entry_a", "entry_b")
+    want = rows_of(features.pair_features(pairs, sides))
+    number, at = {}, {t: k for k, t in enumerate(texts)}
+
+    def ids(x):
+        return [number.setdefault(v, len(number)) for v in x]
+
+    facts = [
+        (r.view, r.type, r.names, r.video_only, *[[at[t] for t in x] for x in (r.texts, r.names, r.artist_names)], r.artists, r.uploaders, r.releases, list({p.release for p in r.positions}), ids(tuple(p) for p in r.positions),
+         r.groups, r.children, r.credits, ids(r.credit_cores), ids(r.titles) if r.child_names else None, ids(r.rtypes), r.durations, r.years, min(r.rec_years, default=None), min(r.work_first, default=None))
+        for r in sides.collect()
+    ]
+    lists = [c for c in pairmatrix.OPTIONAL if c not in ("video_only", "rec_year", "work_first")]
+    facts = spark.createDataFrame(facts, "view long, type string, names array<string>, video_only boolean, " + ", ".join(f"{c} array<long>" for c in lists) + ", rec_year int, work_first int")
+    vectors = spark.createDataFrame([(at[t], v) for t, v in vector.items()], "vec long, vector array<float>")
+    got = rows_of(pairmatrix.grouped_pair_features(groups, ["kind"], views.select("view", "names"), facts, vectors))
+    assert got[0] == want[0] and len(got[1]) == len(want[1]) == 3 * 120
+    off = {n for x, y in zip(got[1], want[1]) for n, u, v in zip(got[0], x, y) if (u is None) != (v is None) or u is not None and u != pytest.approx(v, abs=1e-6)}
+    assert not off
+
+
+def test_matrix_writes_little(spark):
+    # Sides with all their vectors, staged and shuffled, came to 39 times the tables that are read.
+    folder = "/root/testdata/sf0.01"
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size())) + sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+
+    before = written()
+    catalog.QUERIES["pair_feature_matrix"](spark, folder).write.format("noop").mode("overwrite").save()
+    read = sum(Path(folder, f"{t}.parquet").stat().st_size for t in ("part", "supplier", "orders", "lineitem", "embeddings"))
+    assert written() - before < 4 * read
